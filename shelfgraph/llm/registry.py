@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfgraph.llm.bpe import encode_documents
 from shelfgraph.llm.lsm_dedup import dedup_exact
 from shelfgraph.llm.shards import assign_shards
 from shelfgraph.llm.url_rules import judge_urls
@@ -32,10 +33,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
     "op6_sharding": op6_sharding,
+    "op10_bpe": op10_bpe,
 }
 
 SQL: dict[str, str] = {
