@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.llm.bpe import encode_documents
+from shelfgraph.llm import line_crf, toxicity
+from shelfgraph.llm.common import remainder
 from shelfgraph.llm.lsm_dedup import dedup_exact
 from shelfgraph.llm.shards import assign_shards
 from shelfgraph.llm.url_rules import judge_urls
@@ -33,6 +35,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels"))
+    return line_crf.score_quality(docs, model).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, lexicon).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +56,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
+    "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
+    "op8_toxicity": op8_toxicity,
     "op10_bpe": op10_bpe,
 }
 
