@@ -31,7 +31,7 @@ _CLASSES[4, list(b".,;:?'\"-()")] = 1
 _CLASSES[5, list(_SIGNS)] = 1
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, (64, 256), dtype=np.uint64)
 #: Features of one line; with the neighbours' and a constant there are 3 * N + 1.
-N = 10
+N = 11
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,10 +52,28 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     again = np.zeros(len(key))
     again[order[1:]] = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     words = share[3] * size + 1
-    own = np.column_stack([*share, np.log1p(length) / 5, np.minimum(size / words, 30) / 10, again, (length == 0).astype(float)])
+    own = np.column_stack([*share, np.log1p(length) / 5, np.minimum(size / words, 30) / 10, again, (length == 0).astype(float), _stutter(data, starts, len(ends))])
     return own, length, per_doc
 
 
+def _stutter(data: np.ndarray, starts: np.ndarray, lines: int) -> np.ndarray:
+    """For each line the share of its words that equal the word before."""
+    space = data <= 32
+    begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    out = np.zeros(lines)
+    if not len(begins):
+        return out
+    word_of = np.cumsum(np.bincount(begins, minlength=len(data))) - 1
+    place = np.arange(len(data)) - begins[np.maximum(word_of, 0)]
+    value = np.where(space, np.uint64(0), _TABLE[place & 63, data])
+    key = np.add.reduceat(value, begins)
+    line = np.searchsorted(starts, begins, side="right") - 1
+    same = (key[1:] == key[:-1]) & (line[1:] == line[:-1])
+    count = np.bincount(line, minlength=lines)
+    np.divide(np.bincount(line[1:], weights=same, minlength=lines), count, out=out, where=count > 0)
+    return out
+
+
 def _with_neighbours(own: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]

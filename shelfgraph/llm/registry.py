@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgraph.llm.bpe import encode_documents
-from shelfgraph.llm import line_crf, toxicity
+from shelfgraph.llm import language, line_crf, toxicity
 from shelfgraph.llm.common import remainder
 from shelfgraph.llm.lsm_dedup import dedup_exact
 from shelfgraph.llm.shards import assign_shards
@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, language.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    return language.predict(docs, model).select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -54,6 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_quality": op5_quality,
