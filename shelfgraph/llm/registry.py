@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfgraph.llm.bpe import encode_documents
 from shelfgraph.llm import language, line_crf, toxicity
 from shelfgraph.llm.common import remainder
+from shelfgraph.llm.jaccard_join import jaccard_components
 from shelfgraph.llm.lsm_dedup import dedup_exact
 from shelfgraph.llm.shards import assign_shards
 from shelfgraph.llm.url_rules import judge_urls
@@ -55,6 +56,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, lexicon).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op8_toxicity": op8_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
 }
 
