@@ -21,6 +21,8 @@ from shelfgraph.llm.common import bit_filter, maybe_in, new_path, settle
 
 #: Bits of the filter over hit digests; 2**26 bits are 8 MB in 2048 rows.
 FILTER_BITS = 1 << 26
+#: Keys of rows to be dropped, up to this number, are broadcast (about 120 bytes each); more are joined by shuffle.
+BROADCAST_COPIES = 200_000
 
 
 def sha256_hex(text: Column) -> Column:
@@ -118,10 +120,15 @@ def dedup_exact(docs: DataFrame, keep: str = "smallest", digest: Callable[[Colum
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns and in no order; of rows alike in id and text, one is kept."""
-    verdict = dedup_exact(docs, keep, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("group_size").alias("_n"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = docs.withColumn("_sha2", sha256_hex(text)).join(verdict, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")))
-    # rows alike in id and text: only groups of several rows can have them
-    single, several = kept.where("_n = 1"), kept.where("_n > 1")
-    one = several.withColumn("_at", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_sha"))).where("_at = 1").drop("_at")
-    return single.unionByName(one).select(docs.columns)
+    found = dedup_exact(docs, keep, id_col=id_col, text_col=text_col).where("group_size > 1")
+    # keys that go, and keys of which several rows are alike and one stays
+    odd = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("NOT _kept OR _n > 1")
+    odd = settle(odd, "copies")
+    side = F.broadcast(odd) if odd.count() <= BROADCAST_COPIES else odd
+    digest = sha256_hex(F.coalesce(docs[text_col], F.lit("")))
+    marked = docs.join(side, (digest == F.col("_sha")) & docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left")
+    single = marked.where(F.col("_sha").isNull()).select(*(docs[c] for c in docs.columns))
+    if odd.where("_kept").isEmpty():
+        return single
+    several = marked.where("_kept").withColumn("_at", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_sha"))).where("_at = 1")
+    return single.unionByName(several.select(*docs.columns))

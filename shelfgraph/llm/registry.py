@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from shelfgraph.llm.bpe import encode_documents
 from shelfgraph.llm import language, line_crf, toxicity
-from shelfgraph.llm.common import remainder
+from shelfgraph.llm.common import UPPER, remainder
+from shelfgraph.llm.decontaminate import find_contamination
 from shelfgraph.llm.jaccard_join import jaccard_components
+from shelfgraph.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, known_digests, scan_licences
 from shelfgraph.llm.lsm_dedup import dedup_exact
 from shelfgraph.llm.shards import assign_shards
 from shelfgraph.llm.url_rules import judge_urls
@@ -23,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +56,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score_quality(docs, model).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"), known_digests(spark))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -66,15 +76,43 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def _canonical_sql(text: str) -> str:
+    s = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}'), '{COPYRIGHT_LINE}', '\\1', 'g')"
+    for a, b in SPELLINGS:
+        s = f"replace({s}, '{a}', '{b}')"
+    return f"trim(regexp_replace({s}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
+
+
+def _licence_sql() -> str:
+    quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
+    return f"""
+        WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(licence) AS licence FROM (VALUES {quoted}) v(licence, t) GROUP BY 1),
+        whole AS (SELECT doc_id, text, sha256({_canonical_sql("text")}) AS text_digest FROM documents),
+        lines AS (SELECT doc_id, text_digest, unnest(string_split(text, chr(10))) AS line FROM whole WHERE text IS NOT NULL),
+        found AS (SELECT doc_id, text_digest, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+                  FROM lines JOIN known ON digest = sha256({_canonical_sql("line")}) GROUP BY ALL)
+        SELECT w.doc_id, w.text_digest, k.licence, coalesce(f.notices, '') AS notices
+        FROM whole w LEFT JOIN known k ON k.digest = w.text_digest LEFT JOIN found f ON f.doc_id IS NOT DISTINCT FROM w.doc_id AND f.text_digest = w.text_digest"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
+    "op7_licences": op7_licences,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
@@ -82,6 +120,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op7_licences": _licence_sql(),
     "op4_url_filters": """
         WITH rules(r_host, r_path, r_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
         rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),

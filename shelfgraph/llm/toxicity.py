@@ -168,3 +168,16 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id
     """
     scored = _featured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), lexicon, ["doc_id"])
     return scored.select("doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score reaches ``threshold``; all columns are kept, and nothing is shuffled."""
+    entries, exceptions, beta = lexicon.entries, lexicon.exceptions, lexicon.beta
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lexicon(entries, exceptions, beta)
+        automaton = own.compiled()
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(own.features(automaton, t.as_py() or "")) < threshold for t in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
