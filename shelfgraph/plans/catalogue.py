@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shelfgraph.graph import Graph
+from shelfgraph.operators.fold import build, merge
+from shelfgraph.plans import fixtures
 from shelfgraph.plans.compiler import run_query
+from shelfgraph.sources.pages import page_sources, pages_from_list, statement_log, statements
+from shelfgraph.sources.scratch import settle
 from shelfgraph.sources.star import event_graph, star_graph
 
 CENTS = "cast(round(p_retailprice * 100) AS BIGINT)"
@@ -81,3 +87,76 @@ def _events(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES = {**{k: _star(q) for k, (q, _) in STAR.items()}, **{k: _events(q) for k, (q, _) in EVENTS.items()}}
 SQL = {k: sql for k, (_, sql) in {**STAR, **EVENTS}.items()}
+
+
+# pages and statements of our own
+
+
+def _built(spark: SparkSession, *pages: str) -> Graph:
+    return build(settle(statements(pages_from_list(spark, [fixtures.PAGES[p] for p in pages])), "log"))
+
+
+def _extracted(*pages: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_query(_built(spark, *pages), text)
+
+
+def _stated(text: str, dedup_edges: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_query(build(statement_log(spark, fixtures.UPSERTS), dedup_edges=dedup_edges), text)
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = build(statement_log(spark, fixtures.UPSERTS))
+    more = statement_log(spark, [("node", "Product", "p3", "Scarf", '{"price": "5"}'), ("edge", "p3", "Brand", "Acme"), ("node", "Product", "p1", "Shirt II", "{}")])
+    return run_query(merge(first, more, spark.createDataFrame([("https://s.test/hat",)], "url string")), "MATCH (p:Product)-[:Brand]->(b) RETURN p.name AS p, b.kind AS k, count(*) AS n")
+
+
+def _page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("page_seq"), "html")
+    return page_sources(pages).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+PRODUCT = "MATCH (p:Product) RETURN p.name AS name, p.price AS price, p.price_cents AS cents, p.currency AS cur, p.price_score AS score"
+QUERIES |= {
+    "upsert_merge": _stated("MATCH (p:Product) RETURN p.name AS name, p.price AS price, p.note AS note, p.sku AS sku, p.color AS color"),
+    "id_collision": _stated("MATCH (o:Organization) RETURN o.name AS name, o.since AS since"),
+    "dup_edges": _stated("MATCH (p:Product)-[:Brand]->(b) RETURN p.name AS name, count(b) AS n"),
+    "dedup_edges": _stated("MATCH (p:Product)-[:Brand]->(b) RETURN p.name AS name, count(b) AS n", dedup_edges=True),
+    "coercion": _stated("MATCH (p:Product) WHERE p.n = 456 AND p.e = '1e5' AND p.z = 0.5 AND p.big >= 2 AND p.ok AND NOT p.n = '456' RETURN p.n AS n, p.e AS e, p.z AS z, p.big AS big, p.ok AS ok"),
+    "incremental_merge": _incremental,
+    "extract_jsonld": _extracted("jsonld", "graph", text=PRODUCT),
+    "extract_jsonld_kinds": _extracted("jsonld", "graph", text="MATCH (x) RETURN x.kind AS k, count(*) AS n"),
+    "extract_reviews": _extracted("jsonld", text="MATCH (p:Product)-[:Review]->(r:Review)-[:Author]->(a:Person) RETURN r.name AS body, r.date AS d, a.name AS author"),
+    "extract_hoists": _extracted("jsonld", text="MATCH (p:Product)-[:AggregateRating]->(r) RETURN p.availability AS a, p.seller_name AS s, p.rating_value AS r, r.review_count AS c, p.sku AS sku"),
+    "gallery": _extracted("jsonld", text="MATCH (p:Product) RETURN p.image AS image, p.images AS images"),
+    "product_group": _extracted("group", text="MATCH (p:Product) RETURN p.name AS name, p.product_group_id AS g, p.price AS price"),
+    "itemlist": _extracted("itemlist", text="MATCH (p:Product) RETURN p.name AS name, p.price AS price"),
+    "signal_gate": _extracted("faq", "itemlist", text="MATCH (p:Product) WHERE p.name CONTAINS 'return' RETURN p.name AS name"),
+    "extract_platform": _extracted("platform", text="MATCH (p:Product)-[:HasVariant]->(v:Variant) RETURN p.name AS p, p.price AS price, p.price_score AS score, p.url AS url, p.image AS image, v.name AS v, v.price AS vprice"),
+    "extract_attribute": _extracted("attribute", text="MATCH (p:Product)-[:HasVariant]->(v) RETURN p.name AS p, v.price AS price, v.price_score AS score"),
+    "extract_next": _extracted("next", text=PRODUCT.replace("p.currency", "p.missing")),
+    "extract_hypernova": _extracted("hypernova", text="MATCH (p:Product) RETURN p.name AS name, p.price AS price, p.url AS url, p.image AS image"),
+    "extract_microdata": _extracted("microdata", text="MATCH (p:Product) RETURN p.name AS name, p.price AS price, p.currency AS cur, p.url AS url, p.image AS image, p.description AS d"),
+    "pages_source_counts": _page_sources,
+}
+SQL |= {
+    "upsert_merge": "SELECT * FROM (VALUES ('Shirt', '12', 'new', '0123', 'red'), ('Hat', NULL, NULL, NULL, NULL)) t(name, price, note, sku, color)",
+    "id_collision": "SELECT 'Acme' AS name, 1990::BIGINT AS since",
+    "dup_edges": "SELECT * FROM (VALUES ('Shirt', 2::BIGINT), ('Hat', 1)) t(name, n)",
+    "dedup_edges": "SELECT * FROM (VALUES ('Shirt', 1::BIGINT), ('Hat', 1)) t(name, n)",
+    "coercion": "SELECT 456::BIGINT AS n, '1e5' AS e, 0.5::DOUBLE AS z, 2::DOUBLE AS big, true AS ok",
+    "incremental_merge": "SELECT * FROM (VALUES ('Shirt II', 'Organization', 2::BIGINT), ('Scarf', 'Organization', 1)) t(p, k, n)",
+    "extract_jsonld": "SELECT * FROM (VALUES ('Desk Lamp', '49.50', 4950::BIGINT, 'EUR', 0::BIGINT), ('Chair', '120', 12000, 'EUR', 0)) t(name, price, cents, cur, score)",
+    "extract_jsonld_kinds": "SELECT * FROM (VALUES ('Product', 2::BIGINT), ('Brand', 1), ('Organization', 1), ('Offer', 3), ('AggregateRating', 1), ('Review', 2), ('Person', 2)) t(k, n)",
+    "extract_reviews": "SELECT * FROM (VALUES ('Bright', '2024-01-02', 'Ana'), ('Fine', NULL, 'Bo')) t(body, d, author)",
+    "extract_hoists": "SELECT 'InStock' AS a, 'Shop A' AS s, 4.5::DOUBLE AS r, 12::BIGINT AS c, '0123' AS sku",
+    "gallery": "SELECT 'https://cdn.test/a.jpg' AS image, ['https://cdn.test/a.jpg', 'https://cdn.test/b.jpg'] AS images",
+    "product_group": "SELECT * FROM (VALUES ('Mug red', 'G7', '9'), ('Mug blue', 'G7', '9')) t(name, g, price)",
+    "itemlist": "SELECT * FROM (VALUES ('One', '1'), ('Two', '2')) t(name, price)",
+    "signal_gate": "SELECT '' AS name WHERE false",
+    "extract_platform": "SELECT 'Tee' AS p, '790' AS price, 3::BIGINT AS score, 'https://t.test/products/tee' AS url, 'https://cdn.test/t.jpg' AS image, v, vp AS vprice FROM (VALUES ('S', '790'), ('M', '80000')) t(v, vp)",
+    "extract_attribute": "SELECT 'Bag' AS p, '42' AS price, 2::BIGINT AS score",
+    "extract_next": "SELECT * FROM (VALUES ('Pan', '30', 3000::BIGINT, NULL::VARCHAR, 0::BIGINT), ('Pot', '45', 4500, NULL, 0)) t(name, price, cents, cur, score)",
+    "extract_hypernova": "SELECT 'Serum' AS name, '590' AS price, 'https://l.test/one' AS url, 'https://l.test/img/1.jpg' AS image",
+    "extract_microdata": "SELECT 'Towel' AS name, '15' AS price, 'USD' AS cur, 'https://m.test/p/1' AS url, 'https://m.test/t.png' AS image, 'Soft towel' AS d",
+    "pages_source_counts": "SELECT 'empty' AS source, count(*) AS n FROM pages",
+}
