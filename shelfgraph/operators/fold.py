@@ -86,7 +86,7 @@ def build(log: DataFrame, removed_ids: DataFrame | None = None, removed_urls: Da
     if dedup_edges:
         e = e.groupBy("src", "rel", "dst").agg(F.min("seq").alias("seq"))
     edges = e.select(F.col("seq").alias("eseq"), "src", "rel", "dst")
-    return Graph(_typed(nodes), settle(edges, "edges"))
+    return Graph(settle(_typed(nodes), "graph-nodes"), settle(edges, "graph-edges"))
 
 
 def _typed(nodes: DataFrame) -> DataFrame:
