@@ -8,7 +8,7 @@ never paired. A pair of sizes n and m links when the sets share o(n, m) = ceil(p
 * Heavy: pairs with a set above the boundary meet in inverted lists. First a screen, which is exact: of the shingles whose hash falls into a fixed share of
   all hashes, a set with any partner shares all but n - ceil(p n / 100). Then, for the sets that are left, each set puts its rarest shingles into lists, as
   many as a partner cannot all lack. In each list all sets are checked against a leader, the set that shares most. Only a set that
-  is not in the leader's class is then checked against the others of its list, if the shingles that it shares at all suffice for a link.
+  is not in the leader's class is then checked against the others of its list, if what the two can still share from that shingle on suffices for a link.
   So a large group of near copies costs its size, not its square.
 
 Candidates are always verified on the whole sets. Nothing is sampled or capped; the screen's share of hashes only decides what is shuffled.
@@ -262,10 +262,10 @@ def _index(docs: DataFrame, k: int, p: int, least: int, buckets: int, flags: np.
     return parts.mapInArrow(merge, "key string, n long, able long, prefix array<long>, shared binary")
 
 
-def _may_link(p: int, n: Column, able: Column, m: Column, m_able: Column) -> Column:
-    """Sizes and shared shingles allow a link."""
+def _may_link(p: int, n: Column, left: Column, m: Column, m_left: Column) -> Column:
+    """Sizes and the shingles that are left allow a link."""
     o = F.ceil(F.lit(p) * (n + m) / F.lit(100 + p) - 1e-9)
-    return (o <= F.least(able, m_able)) & (F.lit(100) * F.least(n, m) >= F.lit(p) * F.greatest(n, m))
+    return (o <= F.least(left, m_left)) & (F.lit(100) * F.least(n, m) >= F.lit(p) * F.greatest(n, m))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
@@ -291,10 +291,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
 
 def _heavy_links(sets: DataFrame, p: int) -> DataFrame:
     """(a, b): links between large sets, enough of them to connect whatever all links connect."""
-    entries = sets.select("key", "n", "able", F.explode("prefix").alias("h"))
-    rank = F.struct((F.col("able") / F.col("n")).alias("r"), F.col("n").alias("ln"), F.col("able").alias("lable"), F.col("key").alias("lead"))
+    # left: what a pair can share at most if this is the first shingle in rank that it shares; every pair is judged in the list of its first
+    entries = sets.select("key", "n", "able", F.posexplode("prefix").alias("pos", "h")).select("key", "n", "able", "h", (F.col("able") - F.col("pos")).alias("left"))
+    rank = F.struct((F.col("able") / F.col("n")).alias("r"), F.col("n").alias("ln"), F.col("left").alias("lleft"), F.col("key").alias("lead"))
     lists = settle(entries.groupBy("h").agg(F.max(rank).alias("top"), F.min("n").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "top", "least"), "lists")
-    star = entries.join(lists, "h").where((F.col("key") != F.col("top.lead")) & _may_link(p, F.col("n"), F.col("able"), F.col("top.ln"), F.col("top.lable")))
+    star = entries.join(lists, "h").where((F.col("key") != F.col("top.lead")) & _may_link(p, F.col("n"), F.col("left"), F.col("top.ln"), F.col("top.lleft")))
     pairs = star.select(F.col("key").alias("a"), F.col("top.lead").alias("b")).distinct()
     first = settle(_verified(pairs, sets, p), "links-1")
     # the class that a set is known to be in so far: of its leaders the one of the highest rank
@@ -302,9 +303,9 @@ def _heavy_links(sets: DataFrame, p: int) -> DataFrame:
     label = settle(first.join(ranks, "b").groupBy(F.col("a").alias("key")).agg(F.max("rank").alias("rank")).select("key", F.col("rank.key").alias("label")), "labels")
     named = entries.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     lead = lists.select("h", "least", F.col("top.lead").alias("lead")).join(label.select(F.col("key").alias("lead"), F.col("label").alias("lead_label")), "lead", "left").withColumn("lead_label", F.coalesce("lead_label", "lead"))
-    in_lists = settle(named.join(lead, "h").withColumn("out", (F.col("label") != F.col("lead_label")) & (F.col("key") != F.col("lead")) & (F.col("least") <= F.floor(F.col("able") * (100 + p) / F.lit(p)) - F.col("n"))), "entries")
-    x = in_lists.where("out").select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("able").alias("ea"), F.col("label").alias("la"))
-    y = in_lists.where(F.col("key") != F.col("lead")).select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("able").alias("eb"), F.col("label").alias("lb"), F.col("out").alias("ob"))
+    in_lists = settle(named.join(lead, "h").withColumn("out", (F.col("label") != F.col("lead_label")) & (F.col("key") != F.col("lead")) & (F.col("least") <= F.floor(F.col("left") * (100 + p) / F.lit(p)) - F.col("n"))), "entries")
+    x = in_lists.where("out").select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("left").alias("ea"), F.col("label").alias("la"))
+    y = in_lists.where(F.col("key") != F.col("lead")).select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("left").alias("eb"), F.col("label").alias("lb"), F.col("out").alias("ob"))
     rest = x.join(y, (x["h"] == y["h"]) & (F.col("la") != F.col("lb")) & (~F.col("ob") | (F.col("a") < F.col("b"))) & _may_link(p, F.col("na"), F.col("ea"), F.col("nb"), F.col("eb")))
     second = _verified(rest.select("a", "b").distinct(), sets, p)
     return settle(first.unionByName(second), "links-2")
