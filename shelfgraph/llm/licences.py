@@ -14,8 +14,9 @@ from shelfgraph.llm.common import lower_ascii
 
 #: Known licences up to this number are broadcast (about 100 bytes each).
 BROADCAST_KNOWN = 100_000
-#: Equivalent spellings, as (pattern, replacement), in lower case.
-SPELLINGS = [("sublicence", "sublicense"), ("licence", "license"), ("http://", "https://"), ("copyright holder", "copyright owner"), ("non-commercial", "noncommercial"), ("whilst", "while"), ("favour", "favor"), ("&", " and ")]
+#: Equivalent signs, and equivalent spellings once signs and blanks are gone, as (found, put), in lower case.
+SIGNS = [("http://", "https://"), ("&", " and ")]
+SPELLINGS = [("sublicence", "sublicense"), ("licence", "license"), ("copyright holder", "copyright owner"), ("non commercial", "noncommercial"), ("whilst", "while"), ("favour", "favor")]
 #: Lines that only say who holds the copyright.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
@@ -62,9 +63,12 @@ def canonical(text: Column) -> Column:
     """The canonical form; null is empty."""
     s = lower_ascii(F.coalesce(text, F.lit("")))
     s = F.regexp_replace(s, COPYRIGHT_LINE, "$1")
+    for a, b in SIGNS:
+        s = F.replace(s, F.lit(a), F.lit(b))
+    s = F.trim(F.regexp_replace(s, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
     for a, b in SPELLINGS:
         s = F.replace(s, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(s, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+    return s
 
 
 def digest(text: Column) -> Column:

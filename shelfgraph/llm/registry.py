@@ -12,7 +12,7 @@ from shelfgraph.llm import language, line_crf, toxicity
 from shelfgraph.llm.common import UPPER, remainder
 from shelfgraph.llm.decontaminate import find_contamination
 from shelfgraph.llm.jaccard_join import jaccard_components
-from shelfgraph.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, known_digests, scan_licences
+from shelfgraph.llm.licences import COPYRIGHT_LINE, KNOWN, SIGNS, SPELLINGS, known_digests, scan_licences
 from shelfgraph.llm.lsm_dedup import dedup_exact
 from shelfgraph.llm.shards import assign_shards
 from shelfgraph.llm.url_rules import judge_urls
@@ -84,9 +84,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     s = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}'), '{COPYRIGHT_LINE}', '\\1', 'g')"
+    for a, b in SIGNS:
+        s = f"replace({s}, '{a}', '{b}')"
+    s = f"trim(regexp_replace({s}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
     for a, b in SPELLINGS:
         s = f"replace({s}, '{a}', '{b}')"
-    return f"trim(regexp_replace({s}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
+    return s
 
 
 def _licence_sql() -> str:
