@@ -46,7 +46,7 @@ _SIGNED = re.compile(r"\S*[0-9@$!|]\S*")
 
 
 def _letters(m: re.Match) -> str:
-    word = m[0].strip("@$!|#%&*.,;:?\"'()")
+    word = m[0].lstrip("!|#%&*.,;:?\"'()").rstrip("@$!|#%&*.,;:?\"'()")
     return word.translate(SIGNS) if re.search(r"[^\W\d_]", word) and _ODD.search(word) else word
 
 
