@@ -112,9 +112,7 @@ class _Compiler:
     # frames
 
     def scan(self, i: int, pattern: NodePattern) -> DataFrame:
-        nodes = self.g.nodes
-        if pattern.label is not None:
-            nodes = nodes.where(F.col("kind") == pattern.label)
+        nodes = self.g.nodes_of(pattern.label)
         nodes = nodes.select([F.col(c).alias(f"n{i}_{c}") for c in nodes.columns if c != "id" and c != "props_json"])
         for k, v in pattern.props:
             c = V.compare("=", self.prop(i, k), V.literal(v))
@@ -124,9 +122,7 @@ class _Compiler:
     def bindings(self) -> tuple[DataFrame, list[Column]]:
         frame, order = self.scan(0, self.q.nodes[0]), [F.col("n0_idx")]
         for j, rel in enumerate(self.q.rels, 1):
-            edges = self.g.edges
-            if rel.types:
-                edges = edges.where(F.col("rel").isin(list(rel.types)))
+            edges = self.g.edges_of(rel.types)
             near, far = ("src", "dst") if rel.out else ("dst", "src")
             edges = edges.select(F.col("eseq").alias(f"e{j}_seq"), F.col(near).alias(f"e{j}_near"), F.col(far).alias(f"e{j}_far"))
             frame = frame.join(edges, F.col(f"n{j - 1}_idx") == F.col(f"e{j}_near")).join(self.scan(j, self.q.nodes[j]), F.col(f"e{j}_far") == F.col(f"n{j}_idx"))

@@ -28,29 +28,47 @@ def _cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("long")
 
 
-def _nodes(df: DataFrame, kind: str, idx: Column, name: Column, **props: Column) -> DataFrame:
+def _nodes(df: DataFrame, kind: str, idx: Column, name: Column, **props: Column) -> tuple[str, DataFrame]:
     columns = [props[p].cast(t).alias(f"p_{p}") if p in props else F.lit(None).cast(t).alias(f"p_{p}") for p, t in _PROPS.items()]
-    return df.select(idx.alias("idx"), F.lit(kind).alias("kind"), F.coalesce(name, F.lit("")).alias("name"), *columns)
+    return kind, df.select(idx.alias("idx"), F.lit(kind).alias("kind"), F.coalesce(name, F.lit("")).alias("name"), *columns)
 
 
-def _edges(df: DataFrame, rel: str, src: Column, dst: Column, seq: Column) -> DataFrame:
-    return df.select(seq.cast("long").alias("eseq"), src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
+def _edges(df: DataFrame, rel: str, src: Column, dst: Column, seq: Column) -> tuple[str, DataFrame]:
+    return rel, df.select(seq.cast("long").alias("eseq"), src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def _graph(nodes: list[tuple[str, DataFrame]], edges: list[tuple[str, DataFrame]]) -> Graph:
+    def grouped(frames: list[tuple[str, DataFrame]]) -> dict[str, DataFrame]:
+        names = dict.fromkeys(n for n, _ in frames)
+        return {n: reduce(DataFrame.unionByName, [f for m, f in frames if m == n]) for n in names}
+
+    union = lambda frames: reduce(DataFrame.unionByName, [f for _, f in frames])
+    return Graph(union(nodes), union(edges), {p: f"p_{p}" for p in _PROPS}, by_kind=grouped(nodes), by_rel=grouped(edges))
+
+
+#: The tables' columns, so that no job reads them from the files.
+_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts are products, brands and types are brands and categories, line items are offers, orders are reviews and customers their authors."""
     part, supplier, orders, customer, lineitem, nation, region = (_table(spark, sf_dir, t) for t in ("part", "supplier", "orders", "customer", "lineitem", "nation", "region"))
     c = F.col
-    # line items have no key: a hash of the whole row, below all other bands
-    line = F.xxhash64(*lineitem.columns).bitwiseOR(F.lit(-(1 << 63)))
+    # line items have no key of their own: a hash of what tells them apart, below all other bands
+    line = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").bitwiseOR(F.lit(-(1 << 63)))
     pair = _idx("pair", F.pmod(F.xxhash64("l_partkey", "l_suppkey"), F.lit(BAND)))
     pairs = lineitem.select("l_partkey", "l_suppkey").distinct()
     n_offset = 1 << 20  # regions and nations are categories in one band
@@ -77,7 +95,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         _edges(lineitem, "Review", p_idx, _idx("orders", c("l_orderkey")), c("l_orderkey") * 8 + c("l_linenumber")),
         _edges(orders, "Author", _idx("orders", c("o_orderkey")), _idx("customer", c("o_custkey")), c("o_orderkey")),
     ]
-    return Graph(_union(nodes), _union(edges), {p: f"p_{p}" for p in _PROPS})
+    return _graph(nodes, edges)
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -89,4 +107,4 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
         _nodes(events, "Review", _idx("event", c("event_id")), c("event_type"), k=k, value=c("value"), pkey=c("event_id")),
         _nodes(events.select("user_id").distinct(), "Person", _idx("user", c("user_id")), c("user_id").cast("string"), pkey=c("user_id")),
     ]
-    return Graph(_union(nodes), _edges(events, "Author", _idx("event", c("event_id")), _idx("user", c("user_id")), c("event_id")), {p: f"p_{p}" for p in _PROPS})
+    return _graph(nodes, [_edges(events, "Author", _idx("event", c("event_id")), _idx("user", c("user_id")), c("event_id"))])
