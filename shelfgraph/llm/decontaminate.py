@@ -29,36 +29,69 @@ UNITS = "km|m|cm|mm|mi|ft|in|kg|g|mg|lb|lbs|oz|l|ml|s|sec|min|h|hr|hrs|ms|usd|eu
 _NAME, _UNIT = "\x01", "\x02"
 
 
+def _bound(value: Column, make) -> Column:
+    """``make`` of a variable that holds ``value``, which is so worked out once for a row and not once for each use."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def _marked(text: Column) -> Column:
+    """The text in lower case, with names and units behind a mark and the digits of one number joined. Texts that have none of these skip the costly patterns."""
+    clean = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_NAME), F.lit(" ")), F.lit(_UNIT), F.lit(" "))
+    named = _bound(clean, lambda s: F.when(s.rlike(r"[\p{Ll},;] \p{Lu}"), F.regexp_replace(s, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", _NAME + "$1")).otherwise(s))
+
+    def measured(s: Column) -> Column:
+        joined = F.regexp_replace(s, r"(?<=[0-9])[.,](?=[0-9])", "")
+        return F.when(s.rlike("[0-9]"), F.regexp_replace(joined, rf"(?<=[0-9]) ?({UNITS})(?![\p{{L}}\p{{N}}])", f" {_UNIT}$1")).otherwise(s)
+
+    return _bound(F.lower(named), measured)
+
+
+def _split(marked: Column) -> Column:
+    return F.array_remove(F.split(marked, r"[^\p{L}\p{N}\x01\x02]+"), "")
+
+
 def _words(text: Column) -> Column:
-    """Words in lower case, names and units behind a mark; digits of one number are joined."""
-    s = F.translate(F.coalesce(text, F.lit("")), _NAME + _UNIT, "  ")
-    s = F.regexp_replace(s, r"(?<=[0-9])[.,](?=[0-9])", "")
-    s = F.regexp_replace(s, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", _NAME + "$1")
-    s = F.regexp_replace(F.lower(s), rf"(?<=[0-9]) ?({UNITS})(?![\p{{L}}\p{{N}}])", f" {_UNIT}$1")
-    return F.array_remove(F.split(s, r"[^\p{L}\p{N}\x01\x02]+"), "")
+    """Words in lower case, names and units behind a mark."""
+    return _split(_marked(text))
+
+
+def _template(text: Column) -> Column:
+    """The words, with a mark in place of each name and unit and a 0 in place of each number."""
 
+    def placed(m: Column) -> Column:
+        slots = F.regexp_replace(F.regexp_replace(m, r"([\x01\x02])[\p{L}\p{N}]*", "$1"), r"(?<![\p{L}\p{N}\x01\x02])[0-9][\p{L}\p{N}]*", "0")
+        return _split(F.when(m.rlike(r"[0-9\x01\x02]"), slots).otherwise(m))
 
-def _template(words: Column) -> Column:
-    first = lambda w: F.substring(w, 1, 1)
-    return F.transform(words, lambda w: F.when(first(w) == _NAME, F.lit("<name>")).when(first(w) == _UNIT, F.lit("<unit>")).when(first(w).between("0", "9"), F.lit("<number>")).otherwise(w))
+    return _bound(_marked(text), placed)
 
 
 def _windows(template: Column, size: int) -> Column:
+    """Hashes of all windows, each from its words by place: a slice would copy the whole array for each window."""
     n = F.size(template)
     return (
-        F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.slice(template, i + 1, size))))
+        F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*(F.get(template, i + k) for k in range(size)))))
         .when(n > 0, F.array(F.xxhash64(F.concat(F.array(n.cast("string")), template))))
         .otherwise(F.array().cast("array<bigint>"))
     )
 
 
-def _bound(value: Column, make) -> Column:
-    """``make`` of a variable that holds ``value``, which is so worked out once for a row and not once for each use."""
-    return F.element_at(F.transform(F.array(value), make), 1)
+def _spans(words: Column, template: Column, size: int) -> Column:
+    """The same windows as (pos, h, said), with their words."""
+    n = F.size(template)
+    span = lambda pos, h, said: F.struct(pos.cast("int").alias("pos"), h.alias("h"), said.alias("said"))
+    many = F.transform(F.sequence(F.lit(0), n - size), lambda i: span(i, F.xxhash64(*(F.get(template, i + k) for k in range(size))), F.array(*(F.get(words, i + k) for k in range(size)))))
+    one = F.array(span(F.lit(0), F.xxhash64(F.concat(F.array(n.cast("string")), template)), words))
+    return F.when(n >= size, many).when(n > 0, one)
+
+
+def _spanned(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``keys``, pos, h and said of each window of each text."""
+    spans = _bound(_words(F.col("text")), lambda w: _bound(_template(F.col("text")), lambda t: _spans(w, t, size)))
+    return df.select(*keys, F.explode(spans).alias("w")).select(*keys, "w.pos", "w.h", "w.said")
 
 
 def _templated(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    return df.select(*keys, _words(F.col("text")).alias("words"), _bound(_template(_words(F.col("text"))), lambda t: _windows(t, size)).alias("windows"))
+    return df.select(*keys, _words(F.col("text")).alias("words"), _bound(_template(F.col("text")), lambda t: _windows(t, size)).alias("windows"))
 
 
 def _is_slot(w: Column) -> Column:
@@ -77,7 +110,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     totals = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
     side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    grams = _templated(keyed, ["doc_id", "text_key"], size).select("doc_id", "text_key", F.explode("windows").alias("h"))
+    grams = _templated(keyed, ["doc_id", "text_key"], size).select("doc_id", "text_key", F.explode_outer("windows").alias("h"))
+    # the outer form, since for the inner one the optimiser would work the windows out once more to filter by their number; the join drops nulls
     hits = grams.join(side, "h").select("doc_id", "text_key", "item_id", "h").distinct()
     found = hits.groupBy("doc_id", "text_key", "item_id").agg(F.count(F.lit(1)).alias("matched"))
     same = found["item_id"].eqNullSafe(totals["item_id"])
@@ -88,9 +122,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     open_pairs = found.where("slotted").select(F.col("doc_id").alias("p_doc"), F.col("text_key").alias("p_key"), F.col("item_id").alias("p_item"))
     near = maybe_in(keyed, F.col("text_key"), bit_filter(open_pairs, "p_key", FILTER_BITS), FILTER_BITS)
     ours = near.join(open_pairs, (F.col("text_key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("p_doc")))
-    ours = _templated(ours, ["doc_id", "text_key", "p_item"], size).select("doc_id", "text_key", "p_item", F.posexplode("windows").alias("pos", "h"), "words")
-    ours = ours.select("doc_id", "text_key", "p_item", "pos", "h", F.slice("words", F.col("pos") + 1, size).alias("said"))
-    theirs = items.select("item_id", F.posexplode("windows").alias("at", "h"), "words").select("item_id", "at", F.col("h").alias("i_h"), F.slice("words", F.col("at") + 1, size).alias("asked"))
+    ours = _spanned(ours, ["doc_id", "text_key", "p_item"], size)
+    theirs = _spanned(benchmark.select("item_id", "text").distinct(), ["item_id"], size).select("item_id", F.col("pos").alias("at"), F.col("h").alias("i_h"), F.col("said").alias("asked"))
     met = ours.join(theirs, F.col("p_item").eqNullSafe(F.col("item_id")) & (F.col("h") == F.col("i_h"))).withColumn("diagonal", F.col("pos") - F.col("at"))
     pair = ["doc_id", "text_key", "item_id"]
     best = met.groupBy(*pair, "diagonal").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("n"), "diagonal"))).where("rank = 1").select(*pair, "diagonal")
