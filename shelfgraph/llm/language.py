@@ -13,12 +13,12 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfgraph.llm.cache import Memo
 from shelfgraph.llm.common import remainder
 
 #: Texts for each language, about, and words of each, that the model is learned from.
@@ -26,8 +26,12 @@ TEXTS_PER_LANG, WORDS_PER_LANG = 1000, 12_000
 #: Rounds of expectation maximisation, what a piece has before any count, the chance of a letter outside the vocabulary.
 ROUNDS, PRIOR, ODD = 2, 0.01, 1e-7
 #: Longest piece used.
-LONGEST = 12
+LONGEST = 10
 START = "▁"
+#: Distinct pieces of text that a worker remembers, and characters that it handles at once.
+REMEMBERED, SLICE = 400_000, 2_000_000
+_P = np.uint64(0x9E3779B97F4A7C15)
+_GAP = re.compile(r"\s")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -118,28 +122,129 @@ class PieceModel:
     langs: list[str]
     pieces: dict[str, tuple[float, ...]]  # probability in each language
 
-    def scorer(self) -> Memo:
-        """A memo from a piece of text without white space to (log-probability in each language ..., letters)."""
-        trie, k = _trie(self.pieces), len(self.langs)
-
-        def make(piece: str) -> tuple[float, ...]:
-            words = words_of(piece)
-            if not words:
-                return (0.0,) * (k + 1)
-            sums = [sum(x) for x in zip(*(forward(w, trie, k) for w in words), strict=True)]
-            return (*sums, float(sum(map(len, words))))
-
-        return Memo(make)
-
-    def best(self, memo: Memo, text: str | None) -> tuple[str, float]:
-        found = list(map(memo.__getitem__, text.split())) if text else []
-        if not found or not self.langs:
-            return "und", 0.0
-        *sums, letters = (sum(x) for x in zip(*found))
-        if not letters:
-            return "und", 0.0
-        top = max(sums)
-        return self.langs[sums.index(top)], 1 / sum(math.exp(s - top) for s in sums)
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class Scorer:
+    """Scores texts in one worker: many words side by side, each distinct piece of text once as long as it is remembered."""
+
+    def __init__(self, model: PieceModel):
+        self.langs, self.k = model.langs, len(model.langs)
+        pieces = sorted((_key(p), v) for p, v in model.pieces.items())
+        self.keys = np.array([x[0] for x in pieces], dtype=np.uint64)
+        # the last row is for what is no piece
+        self.chance = np.array([x[1] for x in pieces] + [(0.0,) * self.k]).reshape(len(pieces) + 1, self.k)
+        self.trie = _trie(model.pieces)
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((REMEMBERED, self.k + 1))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """log-probability of each word in each language, over all segmentations."""
+        out = np.zeros((len(words), self.k))
+        by_length: dict[int, list[int]] = {}
+        for at, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(at)
+        for n, at in by_length.items():
+            if n > 40:
+                for i in at:
+                    out[i] = forward(words[i], self.trie, self.k)
+                continue
+            codes = np.array([words[i] for i in at], dtype=f"<U{n}").view(np.uint32).reshape(len(at), n).astype(np.uint64)
+            alpha = np.zeros((n + 1, len(at), self.k))
+            alpha[0] = 1.0
+            for i in range(n):
+                h = np.zeros(len(at), dtype=np.uint64)
+                for j in range(i, min(n, i + LONGEST)):
+                    h = h * _P + codes[:, j]
+                    place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1) if len(self.keys) else np.zeros(len(at), np.int64)
+                    hit = self.keys[place] == h if len(self.keys) else np.zeros(len(at), bool)
+                    p = self.chance[np.where(hit, place, -1)]
+                    if j == i:
+                        p = np.where(hit[:, None], p, ODD)
+                    alpha[j + 1] += alpha[i] * p
+            out[at] = np.log(np.maximum(alpha[n], 1e-300))
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        found = [words_of(p) for p in pieces]
+        flat = sorted({w for ws in found for w in ws})
+        number = {w: i for i, w in enumerate(flat)}
+        scored = np.column_stack([self.words(flat), [float(len(w)) for w in flat]]) if flat else np.zeros((0, self.k + 1))
+        start = len(self.index)
+        block = np.zeros((len(pieces), self.k + 1))
+        np.add.at(block, [i for i, ws in enumerate(found) for _ in ws], scored[[number[w] for ws in found for w in ws]] if flat else np.zeros((0, self.k + 1)))
+        self.rows[start : start + len(pieces)] = block
+        self.index.update(zip(pieces, range(start, start + len(pieces)), strict=True))
+
+    def sums(self, parts: list[str]) -> np.ndarray:
+        """The sum of each part's rows: log-probabilities and the number of letters."""
+        split = [p.split() for p in parts]
+        flat = [x for s in split for x in s]
+        out = np.zeros((len(parts), self.k + 1))
+        if not flat:
+            return out
+        distinct = set(flat)
+        if len(self.index) + len(distinct) > REMEMBERED:
+            self.index.clear()
+        if len(distinct) > REMEMBERED:
+            self.rows = np.zeros((len(distinct), self.k + 1))
+        fresh = [x for x in distinct if x not in self.index]
+        if fresh:
+            self._learn(fresh)
+        rows = self.rows[np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))]
+        sizes = np.array([len(s) for s in split])
+        has = sizes > 0
+        out[has] = np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes)[:-1]])[has])
+        return out
+
+    def best(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.k:
+            return [("und", 0.0)] * len(texts)
+        total = np.zeros((len(texts), self.k + 1))
+        parts: list[str] = []
+        owner: list[int] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal parts, owner, held
+            if parts:
+                np.add.at(total, owner, self.sums(parts))
+            parts, owner, held = [], [], 0
+
+        for i, text in enumerate(texts):
+            for part in _slices(text or ""):
+                parts.append(part)
+                owner.append(i)
+                held += len(part)
+                if held >= SLICE:
+                    flush()
+        flush()
+        out = []
+        for row in total:
+            if not row[-1]:
+                out.append(("und", 0.0))
+                continue
+            top = row[:-1].argmax()
+            out.append((self.langs[top], float(1 / np.exp(np.maximum(row[:-1] - row[top], -700)).sum())))
+        return out
+
+
+def _slices(text: str) -> Iterator[str]:
+    """The text in parts of about SLICE characters, cut after white space; a longer run without any is one part."""
+    at = 0
+    while at < len(text):
+        m = _GAP.search(text, at + SLICE) if at + SLICE < len(text) else None
+        end = m.end() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _key(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * int(_P) + ord(c)) % (1 << 64)
+    return h
 
 
 def fit(docs: DataFrame, pieces: list[str], by: int = 4, held_out: int = 2) -> PieceModel:
@@ -190,10 +295,9 @@ def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col
     langs, pieces = model.langs, model.pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = PieceModel(langs, pieces)
-        memo = own.scorer()
+        scorer = PieceModel(langs, pieces).scorer()
         for batch in batches:
-            found = [own.best(memo, t.as_py()) for t in batch.column(1)]
+            found = scorer.best(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
