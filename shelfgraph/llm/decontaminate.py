@@ -1,9 +1,9 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders; the rest is words in lower case. Windows of the
-template are hashed and joined. A document is contaminated by an item if it holds enough of the item's windows and if the
-slots agree: on the diagonal with most windows, each value of the item must stand for one value of the document and the other way round. So an item
-that was asked again with other numbers is found, and a text that only has the item's shape is not.
+Numbers, units after numbers and names become typed placeholders; the rest is words in lower case. Windows of three forms of a text are hashed and joined: as it
+reads, with the capitalised words inside sentences as names, and with all capitalised words as names. A document is contaminated by an item if it holds enough of the
+item's windows and if the slots agree: on the diagonal with most windows, each value of the item must stand for one value of the document and the other way round. So an
+item that was asked again with other numbers or names is found, and a text that only has the item's shape is not. A copy that reads like the item needs no slots.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from pyspark.sql.window import Window
 
 from shelfgraph.llm.common import bit_filter, maybe_in, settle
 
-#: Words in a window; an item of fewer is one window, which only a document with the same template in whole has.
+#: Words in a window; an item of fewer is one window.
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
-#: Item windows up to this number are broadcast (about 30 bytes each); more are joined by shuffle.
+#: Share of an item's windows that a document must hold as they read, to need no agreement of slots: one changed value of a short item stays below.
+LITERAL = 0.8
+#: Item windows up to this number are broadcast (about 60 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 #: Documents to be dropped, up to this number, are broadcast (about 20 bytes each).
 BROADCAST_GONE = 500_000
@@ -26,7 +28,11 @@ BROADCAST_GONE = 500_000
 FILTER_BITS = 1 << 24
 #: Units that become a placeholder after a number.
 UNITS = "km|m|cm|mm|mi|ft|in|kg|g|mg|lb|lbs|oz|l|ml|s|sec|min|h|hr|hrs|ms|usd|eur|gbp|kmh|mph|hours|minutes|seconds|meters|metres|miles|feet|inches|grams|pounds|dollars|euros|degrees|percent|years|days|weeks|months"
-_NAME, _UNIT = "\x01", "\x02"
+#: Marks before a capitalised word inside a sentence, a unit, and any other capitalised word; the last is the placeholder of a number.
+_NAME, _UNIT, _CAPITAL, _NUMBER = "\x01", "\x02", "\x03", "\x04"
+#: The forms of a text.
+_READS, _NAMED, _CAPITALS = range(3)
+_PAIR = ["doc_id", "text_key", "item_id", "item_key"]
 
 
 def _bound(value: Column, make) -> Column:
@@ -35,108 +41,174 @@ def _bound(value: Column, make) -> Column:
 
 
 def _marked(text: Column) -> Column:
-    """The text in lower case, with names and units behind a mark and the digits of one number joined. Texts that have none of these skip the costly patterns."""
-    clean = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_NAME), F.lit(" ")), F.lit(_UNIT), F.lit(" "))
-    named = _bound(clean, lambda s: F.when(s.rlike(r"[\p{Ll},;] \p{Lu}"), F.regexp_replace(s, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", _NAME + "$1")).otherwise(s))
+    """The text in lower case, with capitalised words and units behind a mark and the digits of one number joined. Texts that have none of these skip the costly patterns."""
+    clean = F.translate(F.coalesce(text, F.lit("")), _NAME + _UNIT + _CAPITAL + _NUMBER, "    ")
+    capitals = F.regexp_replace(clean, r"(\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{L}+)", _CAPITAL + "$1")
+    named = F.regexp_replace(capitals, rf"([\p{{Ll}},;])\s+{_CAPITAL}", f"$1 {_NAME}")
 
     def measured(s: Column) -> Column:
         joined = F.regexp_replace(s, r"(?<=[0-9])[.,](?=[0-9])", "")
-        return F.when(s.rlike("[0-9]"), F.regexp_replace(joined, rf"(?<=[0-9]) ?({UNITS})(?![\p{{L}}\p{{N}}])", f" {_UNIT}$1")).otherwise(s)
+        return F.when(s.rlike("[0-9]"), F.regexp_replace(joined, rf"(?<=[0-9])\s*({UNITS})(?![\p{{L}}\p{{N}}])", f" {_UNIT}$1")).otherwise(s)
 
     return _bound(F.lower(named), measured)
 
 
-def _split(marked: Column) -> Column:
-    return F.array_remove(F.split(marked, r"[^\p{L}\p{N}\x01\x02]+"), "")
+def _words(text: Column) -> Column:
+    """Words in lower case, capitalised ones and units behind a mark."""
+    return F.array_remove(F.split(_marked(text), r"[^\p{L}\p{N}\x01\x02\x03]+"), "")
 
 
-def _words(text: Column) -> Column:
-    """Words in lower case, names and units behind a mark."""
-    return _split(_marked(text))
+def _is(w: Column, *marks: str) -> Column:
+    return F.ascii(w).isin([ord(m) for m in marks])
+
+
+def _is_number(w: Column) -> Column:
+    return F.ascii(w).between(ord("0"), ord("9"))
+
+
+def _is_name(w: Column, form: int) -> Column:
+    return _is(w, _NAME, _CAPITAL) if form == _CAPITALS else _is(w, _NAME)
+
+
+def _is_typed(w: Column, form: int) -> Column:
+    return _is_number(w) | _is(w, _UNIT) | _is_name(w, form)
+
+
+def _said(w: Column) -> Column:
+    """The word without its mark."""
+    return F.when(F.ascii(w) < 4, w.substr(F.lit(2), F.length(w))).otherwise(w)
+
+
+def _form(words: Column, form: int) -> Column:
+    """A hash of each word as it stands in a form."""
+    if form == _READS:
+        return F.transform(words, lambda w: F.xxhash64(_said(w)))
+    return F.transform(words, lambda w: F.xxhash64(F.when(_is_name(w, form), F.lit(_NAME)).when(_is(w, _UNIT), F.lit(_UNIT)).when(_is_number(w), F.lit(_NUMBER)).otherwise(_said(w))))
 
 
-def _template(text: Column) -> Column:
-    """The words, with a mark in place of each name and unit and a 0 in place of each number."""
+def _joined(a: Column, b: Column, by: int) -> Column:
+    return F.transform(a, lambda x, i: F.xxhash64(x, F.get(b, i + by)))
 
-    def placed(m: Column) -> Column:
-        slots = F.regexp_replace(F.regexp_replace(m, r"([\x01\x02])[\p{L}\p{N}]*", "$1"), r"(?<![\p{L}\p{N}\x01\x02])[0-9][\p{L}\p{N}]*", "0")
-        return _split(F.when(m.rlike(r"[0-9\x01\x02]"), slots).otherwise(m))
 
-    return _bound(_marked(text), placed)
+def _runs(hashes: Column, sizes: list[int]) -> Column:
+    """For each size an array with a hash of the words from each place on, from runs of 1, 2, 4 and so on; those that would pass the end are of no use."""
 
+    def of(have: dict[int, Column], size: int) -> Column:
+        out, n = None, 0
+        for p in sorted(have, reverse=True):
+            if size & p:
+                out, n = (have[p] if out is None else _joined(out, have[p], n)), n + p
+        return out
 
-def _windows(template: Column, size: int) -> Column:
-    """Hashes of all windows, each from its words by place: a slice would copy the whole array for each window."""
-    n = F.size(template)
-    return (
-        F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*(F.get(template, i + k) for k in range(size)))))
-        .when(n > 0, F.array(F.xxhash64(F.concat(F.array(n.cast("string")), template))))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
+    def grow(have: dict[int, Column]) -> Column:
+        p = max(have)
+        if 2 * p <= max(sizes):
+            return _bound(_joined(have[p], have[p], p), lambda c: grow(have | {2 * p: c}))
+        return F.array(*(of(have, s) for s in sizes))
 
+    return _bound(hashes, lambda h: grow({1: h}))
 
-def _spans(words: Column, template: Column, size: int) -> Column:
-    """The same windows as (pos, h, said), with their words."""
-    n = F.size(template)
-    span = lambda pos, h, said: F.struct(pos.cast("int").alias("pos"), h.alias("h"), said.alias("said"))
-    many = F.transform(F.sequence(F.lit(0), n - size), lambda i: span(i, F.xxhash64(*(F.get(template, i + k) for k in range(size))), F.array(*(F.get(words, i + k) for k in range(size)))))
-    one = F.array(span(F.lit(0), F.xxhash64(F.concat(F.array(n.cast("string")), template)), words))
-    return F.when(n >= size, many).when(n > 0, one)
 
+def _grams(words: Column, sizes: list[int]) -> Column:
+    """For each place the hashes of the windows that begin there, by form and size, null where an earlier form has the same; n is at the first place the number of words."""
+    k, none = range(len(sizes)), F.array().cast("array<array<bigint>>")
+    new = lambda a, *old: F.zip_with(a, old[0], lambda x, y: F.when(x != y, x)) if len(old) == 1 else F.zip_with(F.zip_with(a, old[0], lambda x, y: F.when(x != y, x)), old[1], lambda x, y: F.when(y.isNull() | (x != y), x))
 
-def _spanned(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """``keys``, pos, h and said of each window of each text."""
-    spans = _bound(_words(F.col("text")), lambda w: _bound(_template(F.col("text")), lambda t: _spans(w, t, size)))
-    return df.select(*keys, F.explode(spans).alias("w")).select(*keys, "w.pos", "w.h", "w.said")
+    def forms(reads: Column, w: Column) -> Column:
+        named = _bound(_runs(_form(w, _NAMED), sizes), lambda a: F.array(*(new(F.get(a, j), F.get(reads, j)) for j in k)))
+        every = lambda a: _bound(_runs(_form(w, _CAPITALS), sizes), lambda b: F.concat(reads, a, F.array(*(new(F.get(b, j), F.get(reads, j), F.get(a, j)) for j in k))))
+        return F.when(F.exists(w, lambda x: _is_typed(x, _CAPITALS)), _bound(named, every)).otherwise(F.concat(reads, none))
 
+    def zipped(w: Column) -> Column:
+        arrays = _bound(_runs(_form(w, _READS), sizes), lambda reads: forms(reads, w))
+        return _bound(arrays, lambda a: F.arrays_zip(F.array(F.size(w)).alias("n"), *(F.coalesce(F.get(a, j), F.array().cast("array<bigint>")).alias(f"h{j}") for j in range(3 * len(sizes)))))
 
-def _templated(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    return df.select(*keys, _words(F.col("text")).alias("words"), _bound(_template(F.col("text")), lambda t: _windows(t, size)).alias("windows"))
+    return _bound(words, zipped)
 
 
-def _is_slot(w: Column) -> Column:
-    return w.rlike(r"^[\x010-9]")
+def _size(n: Column, size: int) -> Column:
+    """Words in a window of an item of ``n`` words."""
+    return F.least(n, F.lit(size))
+
+
+def _listed(items: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row for each item, place and hash: item_id, item_key, n, size, windows, at, h, named (it is of the form with names) and open (at least half of its words are no slots)."""
+
+    def at(form: int) -> Column:
+        runs = lambda s: F.get(_runs(_form(F.col("words"), form), sizes), F.array_position(F.lit(sizes), s).cast("int") - 1)
+        cut = F.slice(runs(F.col("size")), F.lit(1), F.col("windows"))
+        return F.transform(cut, lambda h, i: F.struct(i.alias("at"), h.alias("h"), F.lit(form).alias("form"), (2 * F.size(F.filter(F.slice(F.col("words"), i + 1, F.col("size")), lambda w: _is_typed(w, form))) <= F.col("size")).alias("open")))
+
+    rows = items.select("item_id", "item_key", "n", "size", "windows", F.explode(F.concat(*(at(f) for f in range(3)))).alias("w")).select("*", "w.*")
+    return rows.groupBy("item_id", "item_key", "n", "size", "windows", "at", "h").agg(F.bool_or(F.col("form") == _NAMED).alias("named"), F.bool_or("open").alias("open"))
+
+
+def _hits(docs: DataFrame, known: DataFrame, sizes: list[int], size: int) -> DataFrame:
+    """Windows that a document and an item share: the pair, pos, at, and the form by which they are alike."""
+    places = docs.select("doc_id", "text_key", F.posexplode_outer(_grams(_words(F.col("text")), sizes)).alias("pos", "w"))
+    # the outer forms, since for the inner ones the optimiser would work the windows out once more to filter by their number; the join drops nulls
+    grams = places.select("doc_id", "text_key", "pos", F.col("w.n").alias("doc_n"), F.posexplode_outer(F.array(*(F.col(f"w.h{j}") for j in range(3 * len(sizes))))).alias("slot", "h"))
+    side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
+    form = F.floor(F.col("slot") / len(sizes)).cast("int")
+    whole = (F.col("pos") == 0) & F.coalesce(F.col("doc_n") == F.col("n"), F.lit(False))
+    like = F.when(form == _READS, _READS).when((form == _NAMED) & F.col("named") & ((F.col("n") >= size) | F.col("open") | whole), _NAMED).when(F.col("open") | whole, _CAPITALS)
+    return grams.join(side, "h").select(*_PAIR, "size", "windows", "pos", "at", like.alias("form")).where(F.col("form").isNotNull()).distinct()
+
+
+def _slots(asked: Column, said: Column, held: Column, size: Column, diagonal: Column, form: int) -> Column:
+    """The different pairs of values that stand for each other in the windows held."""
+    places = F.array_distinct(F.flatten(F.transform(held, lambda a: F.sequence(a, a + size - 1))))
+    z = F.transform(places, lambda p: F.struct(F.get(asked, p).alias("asked"), F.get(said, p + diagonal).alias("said")))
+    both = lambda x: (_is_number(x["asked"]) & _is_number(x["said"])) | (_is_name(x["asked"], form) & _is_name(x["said"], form))
+    return F.array_distinct(F.transform(F.filter(z, both), lambda x: F.struct(_said(x["asked"]).alias("asked"), _said(x["said"]).alias("said"))))
+
+
+def _agree(z: Column) -> Column:
+    n = lambda c: F.size(F.array_distinct(z[c]))
+    return (n("asked") == F.size(z)) & (n("said") == F.size(z))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and an item that it holds: (doc_id, text_key, item_id, matched, windows, coverage, slots, changed).
 
-    matched and windows count different template windows; slots counts the different values compared, changed those that differ. text_key is a hash of the text, which tells
+    matched and windows count places of the item's windows; slots counts the different values compared, changed those that differ. text_key is a hash of the text, which tells
     rows of one id apart. Rows alike give one pair. Null and empty texts and items hold nothing; null ids are values as any other. Empty tables give no pairs. Other columns are ignored.
     """
-    items = settle(_templated(benchmark.select("item_id", "text").distinct(), ["item_id"], size), "items")
-    listed = items.select("item_id", F.posexplode("windows").alias("at", "h"))
-    known = settle(listed.select("item_id", "h").distinct(), "item-windows")
-    totals = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
-    side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
+    n = F.size("words")
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().select("item_id", F.xxhash64("text").alias("item_key"), _words(F.col("text")).alias("words"))
+    items = settle(items.where(n > 0).select("*", n.alias("n"), _size(n, size).alias("size")).withColumn("windows", F.col("n") - F.col("size") + 1), "items")
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [size]
+    known = settle(_listed(items, sizes), "item-windows")
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    grams = _templated(keyed, ["doc_id", "text_key"], size).select("doc_id", "text_key", F.explode_outer("windows").alias("h"))
-    # the outer form, since for the inner one the optimiser would work the windows out once more to filter by their number; the join drops nulls
-    hits = grams.join(side, "h").select("doc_id", "text_key", "item_id", "h").distinct()
-    found = hits.groupBy("doc_id", "text_key", "item_id").agg(F.count(F.lit(1)).alias("matched"))
-    same = found["item_id"].eqNullSafe(totals["item_id"])
-    found = found.join(totals, same).select("doc_id", "text_key", found["item_id"], "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage")).where(F.col("coverage") >= coverage)
-    # slots: only for items that have some, and only the documents found
-    slotted = items.where(F.exists("words", _is_slot)).select(F.col("item_id").alias("s_item"))
-    found = settle(found.join(slotted, F.col("item_id").eqNullSafe(F.col("s_item")), "left").select(*found.columns, F.col("s_item").isNotNull().alias("slotted")), "found")
-    open_pairs = found.where("slotted").select(F.col("doc_id").alias("p_doc"), F.col("text_key").alias("p_key"), F.col("item_id").alias("p_item"))
-    near = maybe_in(keyed, F.col("text_key"), bit_filter(open_pairs, "p_key", FILTER_BITS), FILTER_BITS)
-    ours = near.join(open_pairs, (F.col("text_key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("p_doc")))
-    ours = _spanned(ours, ["doc_id", "text_key", "p_item"], size)
-    theirs = _spanned(benchmark.select("item_id", "text").distinct(), ["item_id"], size).select("item_id", F.col("pos").alias("at"), F.col("h").alias("i_h"), F.col("said").alias("asked"))
-    met = ours.join(theirs, F.col("p_item").eqNullSafe(F.col("item_id")) & (F.col("h") == F.col("i_h"))).withColumn("diagonal", F.col("pos") - F.col("at"))
-    pair = ["doc_id", "text_key", "item_id"]
-    best = met.groupBy(*pair, "diagonal").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("n"), "diagonal"))).where("rank = 1").select(*pair, "diagonal")
-    met = met.select(*pair, "diagonal", F.explode(F.arrays_zip("said", "asked")).alias("z")).where(_is_slot(F.col("z.asked")) & _is_slot(F.col("z.said")))
-    values = best.withColumnsRenamed({c: f"b_{c}" for c in best.columns})
-    on = met["doc_id"].eqNullSafe(values["b_doc_id"]) & (met["text_key"] == values["b_text_key"]) & met["item_id"].eqNullSafe(values["b_item_id"]) & (met["diagonal"] == values["b_diagonal"])
-    slots = met.join(values, on).groupBy(*pair).agg(
-        F.count_distinct("z.asked").alias("a"), F.count_distinct("z.said").alias("s"), F.count_distinct("z.asked", "z.said").alias("slots"), F.count_distinct(F.when(F.col("z.asked") != F.col("z.said"), F.col("z.asked"))).alias("changed")
-    )
-    checked = slots.withColumnsRenamed({c: f"c_{c}" for c in pair})
-    out = found.join(checked, F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("text_key") == F.col("c_text_key")) & F.col("item_id").eqNullSafe(F.col("c_item_id")), "left")
-    fits = ~F.col("slotted") | F.col("slots").isNull() | ((F.col("a") == F.col("slots")) & (F.col("s") == F.col("slots")))
-    return out.where(fits).select(*pair, "matched", "windows", "coverage", F.coalesce("slots", F.lit(0).cast("long")).alias("slots"), F.coalesce("changed", F.lit(0).cast("long")).alias("changed"))
+    hits = settle(_hits(keyed, known, sizes, size), "hits")
+    held = lambda *forms: F.collect_set(F.when(F.col("form").isin(*forms), F.col("at")))
+    lines = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*_PAIR, "size", "windows", "diagonal").agg(held(0).alias("reads"), held(0, 1).alias("named"), held(0, 1, 2).alias("every"))
+    lines = settle(lines, "diagonals")
+    found = lines.groupBy(*_PAIR).agg(F.size(F.array_distinct(F.flatten(F.collect_list("every")))).cast("long").alias("matched"), F.max("windows").alias("windows"))
+    found = found.where(F.col("matched") >= coverage * F.col("windows"))
+    # slots: only of the documents found
+    on = lambda a, b, keys: [a[k].eqNullSafe(b[f"f_{k}"]) for k in keys]
+    f = found.select(*(F.col(k).alias(f"f_{k}") for k in _PAIR), "matched")
+    near = lines.join(f, on(lines, f, _PAIR)).select(*lines.columns, "matched")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy(*_PAIR).orderBy(F.desc(F.size("every")), "diagonal"))).where("rank = 1")
+    words = items.select(F.col("item_key").alias("i_key"), F.col("words").alias("asked")).dropDuplicates(["i_key"])
+    near = near.join(words, F.col("item_key") == F.col("i_key"))
+    lists = settle(near.groupBy(F.col("doc_id").alias("f_doc_id"), F.col("text_key").alias("f_text_key")).agg(F.collect_list(F.struct("item_id", "item_key", "size", "windows", "matched", "diagonal", "reads", "named", "every", "asked")).alias("lines")), "found")
+    texts = maybe_in(keyed, F.col("text_key"), bit_filter(lists, "f_text_key", FILTER_BITS), FILTER_BITS)
+
+    def judged(c: Column, said: Column) -> Column:
+        def verdict(named: Column, every: Column) -> Column:
+            literal = F.size(c["reads"]) >= LITERAL * c["windows"]
+            pairs = F.when((F.size(c["named"]) > 0) & _agree(named), named).when(_agree(every) | literal, every)
+            return F.struct(c["item_id"].alias("item_id"), c["matched"].alias("matched"), c["windows"].cast("long").alias("windows"), pairs.alias("pairs"))
+
+        slots = lambda held, form: _slots(c["asked"], said, c[held], c["size"], c["diagonal"], form)
+        return _bound(slots("named", _NAMED), lambda a: _bound(slots("every", _CAPITALS), lambda b: verdict(a, b)))
+
+    out = texts.join(lists, on(texts, lists, ["doc_id", "text_key"])).select("doc_id", "text_key", F.explode(_bound(_words(F.col("text")), lambda said: F.transform("lines", lambda c: judged(c, said)))).alias("c"))
+    out = out.select("doc_id", "text_key", "c.*").where(F.col("pairs").isNotNull())
+    counts = F.struct((F.col("matched") / F.col("windows")).alias("coverage"), "matched", "windows", F.size("pairs").cast("long").alias("slots"), F.size(F.filter("pairs", lambda x: x["asked"] != x["said"])).cast("long").alias("changed"))
+    return out.groupBy("doc_id", "text_key", "item_id").agg(F.max(counts).alias("c")).select("doc_id", "text_key", "item_id", "c.matched", "c.windows", "c.coverage", "c.slots", "c.changed")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

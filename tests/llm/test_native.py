@@ -116,6 +116,22 @@ def test_decontamination(spark):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [12, 13, 14, 15]
     assert find_contamination(docs, bench.limit(0)).count() == 0 and find_contamination(docs.limit(0), bench).count() == 0
 
+def test_decontamination_names(spark):
+    asked = "Alice has 3 apples. Bob gives Alice 2 apples. How many apples does Alice have?"
+    plain = "The clerk Mary Jones walked with Peter Smith through the old market while Susan Clark and Henry Ford bought bread for the evening meal"
+    bench = spark.createDataFrame([(1, asked), (2, plain)], "item_id long, text string")
+    rows = [
+        (1, "Carol has 7 apples. Dan gives Carol 4 apples. How many apples does Carol have?"),
+        (2, "Quiz:\n\n" + asked.replace("Alice", "Erin").replace("Bob", "Frank").replace(" ", "\n")),
+        (3, plain.lower()),
+        (4, "so " + plain.upper()),
+        (5, plain.replace(" ", " \n ")),
+        (6, "Carol has 7 apples. Dan gives Erin 4 apples. How many apples does Frank have?"),  # one name stands for three
+        (7, "THE OLD MARKET OF THE TOWN WAS CLOSED IN THE EVENING AND NOBODY CAME TO BUY ANY BREAD OR MEAL AT ALL"),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2)}
+
 
 def test_licences(spark):
     mit = next(t for n, t in KNOWN if n == "MIT")
