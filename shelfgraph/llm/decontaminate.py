@@ -2,7 +2,7 @@
 
 Numbers, units after numbers and names become typed placeholders; the rest is words in lower case. Windows of three forms of a text are hashed and joined: as it
 reads, with the capitalised words inside sentences as names, and with all capitalised words as names. A document is contaminated by an item if it holds enough of the
-item's windows and if the slots agree: on the diagonal with most windows, each value of the item must stand for one value of the document and the other way round. So an
+item's windows, or a long run of them, and if the slots agree: on the diagonal with most windows, each value of the item must stand for one value of the document and the other way round. So an
 item that was asked again with other numbers or names is found, and a text that only has the item's shape is not. A copy that reads like the item needs no slots.
 """
 
@@ -18,6 +18,10 @@ from shelfgraph.llm.common import bit_filter, maybe_in, settle
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
+#: Windows of a long item on one diagonal that suffice whatever their share: 23 words in a row, half of the shortest long item.
+RUN = 16
+#: Words by which the parts of a short item may be shifted against each other in a document.
+SHIFT = 8
 #: Share of an item's windows that a document must hold as they read, to need no agreement of slots: one changed value of a short item stays below.
 LITERAL = 0.8
 #: Item windows up to this number are broadcast (about 60 bytes each); more are joined by shuffle.
@@ -127,8 +131,8 @@ def _grams(words: Column, sizes: list[int]) -> Column:
 
 
 def _size(n: Column, size: int) -> Column:
-    """Words in a window of an item of ``n`` words."""
-    return F.least(n, F.lit(size))
+    """Words in a window of an item of ``n`` words: so few that one changed word leaves half of the windows of an item of 8 words or more."""
+    return F.when(n < size, n).when(n < size * 3 // 2, max(size * 3 // 8, 1)).when(n < 3 * size - 1, max(size // 2, 1)).otherwise(size)
 
 
 def _listed(items: DataFrame, sizes: list[int]) -> DataFrame:
@@ -184,8 +188,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     held = lambda *forms: F.collect_set(F.when(F.col("form").isin(*forms), F.col("at")))
     lines = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*_PAIR, "size", "windows", "diagonal").agg(held(0).alias("reads"), held(0, 1).alias("named"), held(0, 1, 2).alias("every"))
     lines = settle(lines, "diagonals")
-    found = lines.groupBy(*_PAIR).agg(F.size(F.array_distinct(F.flatten(F.collect_list("every")))).cast("long").alias("matched"), F.max("windows").alias("windows"))
-    found = found.where(F.col("matched") >= coverage * F.col("windows"))
+    # small windows count only near each other: in one of the overlapping bands of diagonals, each of twice the shift
+    band = F.floor((F.col("diagonal") + F.lit(SHIFT) * F.col("half")) / (2 * SHIFT)) * 2 + F.col("half")
+    banded = lines.withColumn("half", F.explode(F.when(F.col("size") < size, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("band", F.when(F.col("size") < size, band).otherwise(0))
+    parts = banded.groupBy(*_PAIR, "size", "windows", "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("every")))).cast("long").alias("matched"), F.max(F.size("every")).alias("longest"))
+    parts = parts.where((F.col("matched") >= coverage * F.col("windows")) | ((F.col("size") == size) & (F.col("longest") >= RUN)))
+    found = parts.groupBy(*_PAIR).agg(F.max("matched").alias("matched"))
     # slots: only of the documents found
     on = lambda a, b, keys: [a[k].eqNullSafe(b[f"f_{k}"]) for k in keys]
     f = found.select(*(F.col(k).alias(f"f_{k}") for k in _PAIR), "matched")
@@ -198,7 +206,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
     def judged(c: Column, said: Column) -> Column:
         def verdict(named: Column, every: Column) -> Column:
-            literal = F.size(c["reads"]) >= LITERAL * c["windows"]
+            literal = (F.size(c["reads"]) >= LITERAL * c["windows"]) | ((c["size"] == size) & (F.size(c["reads"]) >= RUN))
             pairs = F.when((F.size(c["named"]) > 0) & _agree(named), named).when(_agree(every) | literal, every)
             return F.struct(c["item_id"].alias("item_id"), c["matched"].alias("matched"), c["windows"].cast("long").alias("windows"), pairs.alias("pairs"))
 

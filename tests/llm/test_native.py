@@ -133,6 +133,25 @@ def test_decontamination_names(spark):
     assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2)}
 
 
+def test_decontamination_parts(spark):
+    word = lambda i: "".join(chr(97 + (i * k + k) % 26) for k in (3, 5, 7, 11)) + chr(97 + i % 26) + chr(97 + i // 26)
+    short, middle, small, long = "What is the capital of France?", [word(i) for i in range(15)], [word(i) for i in range(100, 109)], [word(i) for i in range(200, 300)]
+    bench = spark.createDataFrame([(1, short), (2, " ".join(middle)), (3, " ".join(small)), (4, " ".join(long))], "item_id long, text string")
+    changed = lambda w, i: " ".join([*w[:i], "other", *w[i + 1 :]])
+    rows = [
+        (1, f"We met again in the evening and somebody asked us: {short} Nobody knew it."),
+        (2, "before " + changed(middle, 7) + " after"),
+        (3, "before " + changed(small, 4) + " after"),
+        (4, "before " + " ".join(long[30:60]) + " after"),
+        (5, " between many other words ".join(" ".join(middle[i : i + 4]) for i in range(0, 15, 4))),
+        (6, "before " + " ".join(long[30:45]) + " after"),
+        (7, "What is the colour of France in the evening when somebody asks us"),
+        (8, " ".join([*middle[:7], "inserted", "words", *middle[7:]])),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (8, 2)}
+
+
 def test_licences(spark):
     mit = next(t for n, t in KNOWN if n == "MIT")
     rows = [(1, "Copyright (c) 2020 Me\n\n" + mit.upper().replace(" ", "  ")), (2, "Some prose.\nLicenced under the Apache Licence, version 2.0\nMore."), (3, "Released under the MIT License. And more"), (4, None), (5, ""), (2, "Some prose.\nLicenced under the Apache Licence, version 2.0\nMore.")]
