@@ -2,8 +2,8 @@
 
 Numbers, units after numbers and names become typed placeholders; the rest is words in lower case. Windows of three forms of a text are hashed and joined: as it
 reads, with the capitalised words inside sentences as names, and with all capitalised words as names. A document is contaminated by an item if it holds enough of the
-item's windows, or a long run of them, and if the slots agree: on the diagonal with most windows, each value of the item must stand for one value of the document and the other way round. So an
-item that was asked again with other numbers or names is found, and a text that only has the item's shape is not. A copy that reads like the item needs no slots.
+item's windows, or a long run of them, and if the slots agree: on one diagonal that alone has enough windows (where none has, on that with most), each value of the
+item must stand for one value of the document and the other way round. So an item that was asked again with other numbers or names is found, and a text that only has the item's shape is not. A copy that reads like the item needs no slots.
 """
 
 from __future__ import annotations
@@ -191,23 +191,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     # small windows count only near each other: in one of the overlapping bands of diagonals, each of twice the shift
     band = F.floor((F.col("diagonal") + F.lit(SHIFT) * F.col("half")) / (2 * SHIFT)) * 2 + F.col("half")
     banded = lines.withColumn("half", F.explode(F.when(F.col("size") < size, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("band", F.when(F.col("size") < size, band).otherwise(0))
-    parts = banded.groupBy(*_PAIR, "size", "windows", "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("every")))).cast("long").alias("matched"), F.max(F.size("every")).alias("longest"))
-    parts = parts.where((F.col("matched") >= coverage * F.col("windows")) | ((F.col("size") == size) & (F.col("longest") >= RUN)))
-    found = parts.groupBy(*_PAIR).agg(F.max("matched").alias("matched"))
+    total = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    enough = lambda n: (n >= coverage * F.col("windows")) | ((F.col("size") == size) & (n >= RUN))
+    parts = banded.groupBy(*_PAIR, "size", "windows", "band").agg(total("every").alias("matched"), total("named").alias("n_named"), total("reads").alias("n_reads"), F.max(F.size("every")).alias("longest"))
+    parts = parts.where((F.col("matched") >= coverage * F.col("windows")) | enough(F.col("longest")))
+    found = parts.groupBy(*_PAIR).agg(*(F.max(c).alias(c) for c in ("matched", "n_named", "n_reads")))
     # slots: only of the documents found
     on = lambda a, b, keys: [a[k].eqNullSafe(b[f"f_{k}"]) for k in keys]
-    f = found.select(*(F.col(k).alias(f"f_{k}") for k in _PAIR), "matched")
-    near = lines.join(f, on(lines, f, _PAIR)).select(*lines.columns, "matched")
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy(*_PAIR).orderBy(F.desc(F.size("every")), "diagonal"))).where("rank = 1")
+    f = found.select(*(F.col(k).alias(f"f_{k}") for k in _PAIR), "matched", "n_named", "n_reads")
+    near = lines.join(f, on(lines, f, _PAIR)).select(*lines.columns, "matched", "n_named", "n_reads", enough(F.size("every")).alias("alone"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy(*_PAIR).orderBy(F.desc(F.size("every")), "diagonal"))).where("rank = 1 OR alone")
+    named_fit = enough(F.size("named")) | (~F.col("alone") & (F.col("n_named") >= coverage * F.col("windows")))
+    literal = (F.greatest(F.size("reads"), "n_reads") >= LITERAL * F.col("windows")) | ((F.col("size") == size) & (F.size("reads") >= RUN))
+    near = near.select(*lines.columns, "matched", named_fit.alias("named_fit"), literal.alias("literal"))
     words = items.select(F.col("item_key").alias("i_key"), F.col("words").alias("asked")).dropDuplicates(["i_key"])
     near = near.join(words, F.col("item_key") == F.col("i_key"))
-    lists = settle(near.groupBy(F.col("doc_id").alias("f_doc_id"), F.col("text_key").alias("f_text_key")).agg(F.collect_list(F.struct("item_id", "item_key", "size", "windows", "matched", "diagonal", "reads", "named", "every", "asked")).alias("lines")), "found")
+    lists = settle(near.groupBy(F.col("doc_id").alias("f_doc_id"), F.col("text_key").alias("f_text_key")).agg(F.collect_list(F.struct("item_id", "item_key", "size", "windows", "matched", "diagonal", "named_fit", "literal", "named", "every", "asked")).alias("lines")), "found")
     texts = maybe_in(keyed, F.col("text_key"), bit_filter(lists, "f_text_key", FILTER_BITS), FILTER_BITS)
 
     def judged(c: Column, said: Column) -> Column:
         def verdict(named: Column, every: Column) -> Column:
-            literal = (F.size(c["reads"]) >= LITERAL * c["windows"]) | ((c["size"] == size) & (F.size(c["reads"]) >= RUN))
-            pairs = F.when((F.size(c["named"]) > 0) & _agree(named), named).when(_agree(every) | literal, every)
+            pairs = F.when(c["named_fit"] & _agree(named), named).when(_agree(every) | c["literal"], every)
             return F.struct(c["item_id"].alias("item_id"), c["matched"].alias("matched"), c["windows"].cast("long").alias("windows"), pairs.alias("pairs"))
 
         slots = lambda held, form: _slots(c["asked"], said, c[held], c["size"], c["diagonal"], form)
@@ -215,8 +219,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
     out = texts.join(lists, on(texts, lists, ["doc_id", "text_key"])).select("doc_id", "text_key", F.explode(_bound(_words(F.col("text")), lambda said: F.transform("lines", lambda c: judged(c, said)))).alias("c"))
     out = out.select("doc_id", "text_key", "c.*").where(F.col("pairs").isNotNull())
-    counts = F.struct((F.col("matched") / F.col("windows")).alias("coverage"), "matched", "windows", F.size("pairs").cast("long").alias("slots"), F.size(F.filter("pairs", lambda x: x["asked"] != x["said"])).cast("long").alias("changed"))
-    return out.groupBy("doc_id", "text_key", "item_id").agg(F.max(counts).alias("c")).select("doc_id", "text_key", "item_id", "c.matched", "c.windows", "c.coverage", "c.slots", "c.changed")
+    counts = F.struct((F.col("matched") / F.col("windows")).alias("coverage"), "matched", "windows", (-F.size(F.filter("pairs", lambda x: x["asked"] != x["said"]))).cast("long").alias("unchanged"), F.size("pairs").cast("long").alias("slots"))
+    return out.groupBy("doc_id", "text_key", "item_id").agg(F.max(counts).alias("c")).select("doc_id", "text_key", "item_id", "c.matched", "c.windows", "c.coverage", "c.slots", (-F.col("c.unchanged")).alias("changed"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

@@ -152,6 +152,16 @@ def test_decontamination_parts(spark):
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (8, 2)}
 
 
+def test_decontamination_diagonals(spark):
+    item = "A train leaves Springfield at 45 km and reaches Shelbyville after 3 hours with 45 passengers on board today"
+    long = f"{item} while the other train waits behind the old bridge until somebody finds the lost key of the red signal house beside the river where nobody has been at work since the great flood of that year"
+    broken = item.replace("45 passengers", "50 passengers")
+    bench = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    rows = [(1, f"{broken}. {item}"), (2, long.replace("45 passengers", "50 passengers")), (3, f"{broken}. {broken.replace('50', '52')}")]
+    got = {(r["doc_id"], r["item_id"]): r["changed"] for r in find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert (1, 1) in got and got[1, 1] == 0 and (2, 2) in got and not any(d == 3 for d, _ in got)
+
+
 def test_licences(spark):
     mit = next(t for n, t in KNOWN if n == "MIT")
     rows = [(1, "Copyright (c) 2020 Me\n\n" + mit.upper().replace(" ", "  ")), (2, "Some prose.\nLicenced under the Apache Licence, version 2.0\nMore."), (3, "Released under the MIT License. And more"), (4, None), (5, ""), (2, "Some prose.\nLicenced under the Apache Licence, version 2.0\nMore.")]
