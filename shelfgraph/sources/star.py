@@ -11,6 +11,8 @@ from shelfgraph.graph import Graph
 
 #: Each kind's ids are row keys in a band of their own, so an id needs no numbering job.
 BAND = 1 << 40
+#: Each of the two keys that make a pair's number is below this.
+_HALF = 1 << 31
 _BANDS = ("part", "brand", "type", "supplier", "orders", "customer", "pair", "nation", "region", "event", "user")
 _PROPS = {"brand": "string", "type": "string", "size": "bigint", "price_cents": "bigint", "acctbal_cents": "bigint", "quantity": "double", "returnflag": "string", "status": "string", "total_cents": "bigint", "segment": "string", "promo": "boolean", "k": "bigint", "value": "double", "pkey": "bigint"}
 
@@ -24,6 +26,12 @@ def _hashed(band: str, text: Column) -> Column:
     return _idx(band, F.pmod(F.xxhash64(text), F.lit(BAND)))
 
 
+def _paired(a: Column, b: Column) -> Column:
+    """An exact number of two keys, null or from 0 to 2^31 - 2, above all bands; other keys are an error, since two pairs would get one number."""
+    half = lambda c: F.coalesce(F.when(c.between(0, _HALF - 2), c.cast("long") + 1).when(c.isNotNull(), F.raise_error(F.concat(F.lit("key out of range: "), c.cast("string"))).cast("long")), F.lit(0).cast("long"))
+    return F.lit(1 << 62) + half(a) * F.lit(_HALF) + half(b)
+
+
 def _cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("long")
 
@@ -69,7 +77,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     c = F.col
     # line items have no key of their own: a hash of what tells them apart, below all other bands
     line = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").bitwiseOR(F.lit(-(1 << 63)))
-    pair = _idx("pair", F.pmod(F.xxhash64("l_partkey", "l_suppkey"), F.lit(BAND)))
+    pair = _paired(c("l_partkey"), c("l_suppkey"))
     pairs = lineitem.select("l_partkey", "l_suppkey").distinct()
     n_offset = 1 << 20  # regions and nations are categories in one band
     nodes = [
