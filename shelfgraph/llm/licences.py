@@ -1,6 +1,6 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form: lower case, without copyright lines, one spelling for words that have several, and single blanks for everything that is
+A text is brought to a canonical form: lower case, without the sentences that name a holder, one spelling for words that have several, and single blanks for everything that is
 not a letter or digit. The digest of the entire form is joined to the digests of known licences. The units are the whole text and each of its
 lines, so a licence that is a document and a notice that is a line are both found.
 """
@@ -17,7 +17,12 @@ BROADCAST_KNOWN = 100_000
 #: Equivalent signs, and equivalent spellings once signs and blanks are gone, as (found, put), in lower case.
 SIGNS = [("http://", "https://"), ("&", " and ")]
 SPELLINGS = [("sublicence", "sublicense"), ("licence", "license"), ("copyright holder", "copyright owner"), ("non commercial", "noncommercial"), ("whilst", "while"), ("favour", "favor")]
-#: Lines that only say who holds the copyright.
+#: The holder's sentence at a line's start. What the line says of a licence after it stays, and a line that begins with "copyright holders" or the like is a licence's own.
+HOLDER = (
+    r"(^|\n)[ \t#*/]*(?:copyright[ \t]*+(?=\(c\)|©|[0-9\[<{:,]|[\r\n]|$|(?!holder|owner|notice|law\b|statement|licen[cs]e|and\b|or\b|in\b|to\b)[^\n])|\(c\)|©|all rights reserved)"
+    r"(?:[^\n]*?[.;,:)|-][ \t]+(?=(?:it is |this (?:work|file|software|program|code|text) is |(?:re)?(?:leased|distributed|published) under|licen[cs]ed under|permission (?:is hereby|to use)|spdx-license-identifier|(?:the )?mit licen[cs]e|redistribution and use))|[^\n]*)"
+)
+#: The same by whole lines, as the SQL for a second engine has it; there is no lookahead in that one.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
 _PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -62,7 +67,7 @@ KNOWN = [
 def canonical(text: Column) -> Column:
     """The canonical form; null is empty."""
     s = lower_ascii(F.coalesce(text, F.lit("")))
-    s = F.regexp_replace(s, COPYRIGHT_LINE, "$1")
+    s = F.regexp_replace(s, HOLDER, "$1")
     for a, b in SIGNS:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.trim(F.regexp_replace(s, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))

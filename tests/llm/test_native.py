@@ -171,6 +171,19 @@ def test_licences(spark):
     assert scan_licences(docs.where("doc_id = 1"), known_digests(spark)).first()["licence"] == "MIT"
 
 
+def test_licences_after_a_holder(spark):
+    mit = next(t for n, t in KNOWN if n == "MIT")
+    rows = [
+        (1, "Copyright 2020 Foo. Released under the MIT License.", "MIT", "MIT"),
+        (2, "prose\n(c) 2021 X. Licensed under CC BY 4.0.", None, "CC-BY-4.0"),
+        (3, "Copyright (c) 2020 J. Smith, Foo Inc. All rights reserved.\n\n" + mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS"), "MIT", ""),
+        (4, "Copyright Foo Ltd.\n# Copyright: Bar\nAll rights reserved.\n" + mit, "MIT", ""),
+        (5, "Copyright 2020 Foo Inc. and others", None, ""),
+    ]
+    got = {r["doc_id"]: (r["licence"], r["notices"]) for r in scan_licences(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), known_digests(spark)).collect()}
+    assert got == {r[0]: r[2:] for r in rows}
+
+
 def test_components(spark):
     edges = [("a", "b"), ("c", "b"), ("x", "y"), ("z", "z"), (None, "a"), ("a", "b")] + [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
