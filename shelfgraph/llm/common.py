@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: One bitmap of Spark's bitmap functions: 4096 bytes.
 BITMAP_BITS = 32768
+#: The most bits of a filter: 64 MB.
+MOST_BITS = 1 << 29
+#: Keys of rows up to this number are broadcast (about 100 bytes each).
+BROADCAST_KEYS = 200_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -48,21 +57,73 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
+def filter_bits(keys: int, most: int = MOST_BITS) -> int:
+    """Bits of a filter over so many keys: a power of two, 16 for each key, at most ``most``; beyond that the filter lets more pass and still loses nothing."""
+    return min(most, max(BITMAP_BITS, 1 << (16 * max(keys, 1) - 1).bit_length()))
+
+
 def bit_of(key: Column, bits: int) -> Column:
     """The place from 1 to ``bits`` that ``key`` has in a bit filter."""
     return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
 
 
-def bit_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """A hashed bit filter over ``keys``: at most bits / 32768 rows of (bucket, bitmap), 4 KB each, whatever the number of keys."""
-    v = keys.select(bit_of(F.col(key), bits).alias("v"))
-    return v.groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bitmap"))
+def bit_filter(keys: DataFrame, key: str, bits: int, *by: str) -> DataFrame:
+    """A hashed bit filter over ``keys``, for each value of ``by``: at most bits / 32768 rows of (bucket, bitmap), 4 KB each, whatever the number of keys."""
+    v = keys.select(*by, bit_of(F.col(key), bits).alias("v"))
+    return v.groupBy(*by, F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bitmap"))
 
 
-def maybe_in(df: DataFrame, key: Column, filt: DataFrame, bits: int) -> DataFrame:
-    """Rows of ``df`` whose key may be in the filter; a key that is in it is never lost. The filter's size is bounded by ``bits``, so it is broadcast."""
+def may_hold(df: DataFrame, key: Column, filt: DataFrame, bits: int, name: str) -> DataFrame:
+    """``df`` with a column that is true where the key may be in the filter; of a key that is in it, it is always true. ``bits`` bounds the filter, so it is broadcast."""
+    bucket, pos, other, bitmap = (f"_{x}_{uuid.uuid4().hex}" for x in ("bucket", "pos", "other", "bitmap"))
     v = bit_of(key, bits)
-    probe = df.withColumn("_bucket", F.bitmap_bucket_number(v)).withColumn("_pos", F.bitmap_bit_position(v))
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.col("_pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.floor(byte / F.pow(F.lit(2), F.col("_pos") % 8)) % 2 == 1
-    return probe.join(F.broadcast(filt), probe["_bucket"] == filt["bucket"]).where(hit).drop("_bucket", "_pos", "bucket", "bitmap")
+    probe = df.withColumn(bucket, F.bitmap_bucket_number(v)).withColumn(pos, F.bitmap_bit_position(v))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.col(pos) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), F.col(pos) % 8)) % 2 == 1
+    side = filt.select(F.col("bucket").alias(other), F.col("bitmap").alias(bitmap))
+    return probe.join(F.broadcast(side), F.col(bucket) == F.col(other), "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop(bucket, pos, other, bitmap)
+
+
+def maybe_in(df: DataFrame, key: Column, filt: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``df`` whose key may be in the filter; a key that is in it is never lost."""
+    flag = f"_maybe_{uuid.uuid4().hex}"
+    return may_hold(df, key, filt, bits, flag).where(F.col(flag)).drop(flag)
+
+
+def keep_chosen(docs: DataFrame, decided: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """``docs`` without the rows that ``decided(doc_id, key, kept)`` drops, all columns and in no order. ``key`` is the value in ``docs`` that tells rows of
+    one id apart. Of rows alike in id and key, one stays if one of them is kept; rows that are not in ``decided`` stay.
+
+    Up to BROADCAST_KEYS keys are broadcast; of more, a bit filter picks the rows that are joined by shuffle, and all others are passed on as they are.
+    """
+    own, id_, key_, kept, times, maybe, at = (f"_{x}_{uuid.uuid4().hex}" for x in ("own", "id", "key", "kept", "n", "maybe", "at"))
+    some = decided.groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key_)).agg(F.max("kept").alias(kept), F.count(F.lit(1)).alias(times))
+    some = settle(some.where(~F.col(kept) | (F.col(times) > 1)), "decided")
+    n = some.count()
+    back = lambda df: df.select(*(docs[c] for c in docs.columns))
+    keyed = docs.withColumn(own, key)
+    on = (F.col(own) == F.col(key_)) & docs[id_col].cast(some.schema[id_].dataType).eqNullSafe(F.col(id_))
+    if n <= BROADCAST_KEYS:
+        marked = keyed.join(F.broadcast(some), on, "left")
+        out = back(marked.where(F.col(key_).isNull()))
+    else:
+        bits = filter_bits(n)
+        flagged = may_hold(keyed, F.col(own), bit_filter(some, key_, bits), bits, maybe)
+        marked = flagged.where(F.col(maybe)).join(some, on, "left")
+        out = back(marked.where(F.col(key_).isNull())).unionByName(back(flagged.where(~F.col(maybe))))
+    if some.where(kept).isEmpty():
+        return out
+    alike = Window.partitionBy(id_, key_).orderBy(key_)
+    return out.unionByName(back(marked.where(F.col(kept)).withColumn(at, F.row_number().over(alike)).where(F.col(at) == 1)))
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and about ``size`` bytes of the text in ``column``; a longer text is a batch of its own."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        at = 0
+        while at < batch.num_rows:
+            end = min(max(int(np.searchsorted(total, total[at] + size, side="right")) - 1, at + 1), at + rows)
+            yield batch.slice(at, end - at)
+            at = end

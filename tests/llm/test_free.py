@@ -7,12 +7,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from shelfgraph.llm import language, line_crf, toxicity
 from shelfgraph.llm.bpe import MergeAutomaton, WordBpe, encode_documents
 from shelfgraph.llm.cache import Memo
+from shelfgraph.llm.common import by_bytes
 from shelfgraph.llm.jaccard_join import boundary, drop_near_copies, jaccard_components
 from shelfgraph.llm.shingles import shingle_sets
 
@@ -85,11 +87,27 @@ def test_bpe_matches_library(spark):
     texts += ["".join(rng.choice("abcdehilnorst'!?.é’ 0\n<|>") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
     for t in texts:
         want = tokenizer.encode(t, add_special_tokens=False).ids
-        raw, decoded = codec.encode_bytes(t)
-        assert array.array("I", raw).tolist() == want and decoded == tokenizer.decode(want, skip_special_tokens=False) == codec.decode(want)
+        raw = codec.encode_bytes(t)
+        assert array.array("I", raw).tolist() == want and "".join(codec.decoded(raw)) == tokenizer.decode(want, skip_special_tokens=False) == codec.decode(want)
     docs = spark.createDataFrame([(1, texts[2], 9), (2, None, 9), (None, "", 9), (1, texts[2], 9)], "doc_id long, text string, ids long")
     got = encode_documents(docs, VOCABULARY).collect()
     assert sorted(r["n_tokens"] for r in got) == [0, 0, 8, 8] and max(got, key=lambda r: r["n_tokens"])["ids"] == codec.encode(texts[2])
+    assert encode_documents(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_bpe_of_long_texts():
+    """Texts of several slices, a word longer than a slice, and more ids than are decoded at once."""
+    tokenizer, codec = Tokenizer.from_file(VOCABULARY), WordBpe(VOCABULARY)
+    for t in ("some words of ångström 12 <|endoftext|> " * 60_000, "abcde" * 300_000 + " end"):
+        want = tokenizer.encode(t, add_special_tokens=False).ids
+        raw = codec.encode_bytes(t)
+        assert array.array("I", raw).tolist() == want and "".join(codec.decoded(raw)) == tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_batches_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "t": ["a" * 10, None, "", "b" * 100, "c", "d" * 10, "e"]})
+    parts = [b.column(0).to_pylist() for b in by_bytes([batch, batch.slice(5)], 1, 20)]
+    assert [x for p in parts for x in p] == [*range(7), 5, 6] and [3] in parts and by_bytes([batch.slice(0, 0)], 1, 20) is not None and list(by_bytes([batch.slice(0, 0)], 1, 20)) == []
 
 
 def test_automaton_on_random_merges():
@@ -111,10 +129,17 @@ def test_automaton_on_random_merges():
                     if (want[i], want[i + 1]) == (u, v):
                         want[i : i + 2] = [u + v]
                     i += 1
-            after, ok = -1, True
-            for t in want:
-                ok, after = ok and automaton.has_arc(after, automaton.number[t]), automaton.number[t]
-            assert ok
+            # of all ways to spell the word in tokens, the automaton has that one only
+            text, paths = "".join(word), [([], -1, 0)]
+            done = []
+            while paths:
+                path, state, at = paths.pop()
+                if at == len(text):
+                    done.append(path)
+                for t in tokens:
+                    if t in automaton.number and text.startswith(t, at) and automaton.has_arc(state, automaton.number[t]):
+                        paths.append(([*path, t], automaton.number[t], at + len(t)))
+            assert done == [want]
 
 
 def test_memo_is_bounded():

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from shelfgraph.llm import common
 from shelfgraph.llm.components import components
 from shelfgraph.llm.decontaminate import drop_contaminated, find_contamination
 from shelfgraph.llm.licences import KNOWN, known_digests, scan_licences
@@ -27,7 +28,7 @@ def docs(spark):
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(docs, keep, weak):
-    digest = {"digest": lambda c: F.substring(F.sha2(c, 256), 1, 0)} if weak else {}  # the weak digest is the same for all
+    digest = {"digest": lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 0))} if weak else {}  # the weak digest is the same for all
     got = dedup_exact(docs, keep, **digest).collect()
     groups = defaultdict(list)
     for i, t, *_ in ROWS:
@@ -45,16 +46,44 @@ def test_exact_dedup(docs, keep, weak):
 def test_index_of_several_runs(spark, docs):
     index = DigestIndex(spark)
     index.flush(docs.where("doc_id < 3"))
-    index.flush(docs.where("doc_id >= 3"))
-    assert index.compact().where("n > 1").count() == 3
-    found = index.lookup(spark.createDataFrame([(9, "A b c"), (10, "new")], "doc_id long, text string"))
-    assert {r["doc_id"]: r["keep_id"] for r in found.collect()} == {9: 7, 10: None}
+    index.flush(docs.where("doc_id >= 3 OR doc_id IS NULL"))
+    assert len(index.runs) > 2 and all(r.tier == 0 for r in index.runs)
+    level = index.compact()
+    assert level.where("n > 1").count() == 3 and len(index.runs) == 1 and index.runs[0].tier > 1 and index.runs[0].selective
+    # a later flush meets the level that is there
+    index.flush(spark.createDataFrame([(0, "only"), (12, "new")], "doc_id long, text string"))
+    assert {(r["n"], r["keep"]) for r in index.compact().select("n", index.keep_id().alias("keep")).collect()} == {(1, 7), (1, 12), (2, 0), (2, 3), (2, 5), (3, 1)}
+    found = index.lookup(spark.createDataFrame([(9, "A b c", 1), (10, "newer", 2), (11, None, 3)], "doc_id long, text string, digest long"))
+    assert {r["doc_id"]: r["keep_id"] for r in found.collect()} == {9: 7, 10: None, 11: 3} and found.columns == ["doc_id", "text", "digest", "keep_id"]
+
+
+def test_index_whose_filters_are_full(spark):
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    for most in (1 << 15, 1):
+        index = DigestIndex(spark, most_bits=max(most, 32768))
+        if most == 1:
+            index.flush(docs)
+            for r in index.runs:
+                r.bits = 0  # no longer selective: every entry must meet
+        else:
+            index.flush(docs)
+        got = {(r["n"], r["keep"]) for r in index.compact().select("n", index.keep_id().alias("keep")).collect()}
+        assert got == {(2 if i < 300 else 1, i) for i in range(700)}
 
 
 def test_drop_copies(spark, docs):
     kept = drop_copies(docs)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "5", "6", "7"]
-    assert drop_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert drop_copies(spark.createDataFrame([], SCHEMA)).count() == 0 and dedup_exact(spark.createDataFrame([], SCHEMA)).count() == 0
+    odd = spark.createDataFrame([(1, "a", "p", 1, "q"), (2, "a", "p", 2, "q"), (1, "a", "p", 1, "q")], "doc_id long, text string, _key string, bucket long, bitmap string")
+    assert [tuple(r) for r in drop_copies(odd).collect()] == [(1, "a", "p", 1, "q")]
+
+
+def test_drop_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(100)] + [(3, "text 3"), (None, "text 3"), (200, "single")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in drop_copies(docs).collect()) == [*range(40), 200]
 
 
 def test_urls(spark):
