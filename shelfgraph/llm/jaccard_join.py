@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.common import settle
+from shelfgraph.llm.common import filter_bits, keep_chosen, settle
 from shelfgraph.llm.components import components
 from shelfgraph.llm.shingles import Sets, blocks, mix
 
@@ -37,8 +37,10 @@ LIST_COST = 8
 BUCKET = 500_000
 #: A shingle that at least one in so many sets has gets the last rank at once, so at most this many times the mean set size are held in memory.
 COMMON = 2000
-#: Bits of the filter over sets that pass the screen: 8 MB.
-FILTER_BITS = 1 << 26
+#: The most bits of the filter over sets that pass the screen: 32 MB in each worker. It has 16 for each set; a fuller one lets more sets pass and loses none.
+MOST_BITS = 1 << 28
+#: A set that at least one row in so many has is joined to the rows by broadcast, so at most this many are.
+HEAVY = 1000
 
 
 def need(p: int, n: int, m: int) -> int:
@@ -76,19 +78,19 @@ def _longs(x: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, k: int, share: int) -> DataFrame:
-    """(doc_id, n, key, ck, sampled, small): of each row the size and key of its set, how many hashes fall into the share, and the set itself if it is small."""
+    """(doc_id, text_key, n, key, ck, sampled, small): of each row the size and key of its set, how many hashes fall into the share, and the set itself if it is small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sets in blocks(batches, 1, k):
+        for rows, sets in blocks(batches, 2, k):
             inside = np.bincount(sets.owner()[_sampled(sets.hashes, share)], minlength=len(rows))
             starts = sets.starts()
             small = [sets.hashes[s : s + n].tobytes() if n <= SMALL else None for s, n in zip(starts.tolist(), sets.n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array(sets.n), pa.array(sets.keys(), pa.string()), pa.array(_longs(sets.k1)), pa.array(inside), pa.array(small, pa.binary())],
-                names=["doc_id", "n", "key", "ck", "sampled", "small"],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(sets.n), pa.array(sets.keys(), pa.string()), pa.array(_longs(sets.k1)), pa.array(inside), pa.array(small, pa.binary())],
+                names=["doc_id", "text_key", "n", "key", "ck", "sampled", "small"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, key string, ck long, sampled long, small binary")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n long, key string, ck long, sampled long, small binary")
 
 
 def _sampled(h: np.ndarray, share: int) -> np.ndarray:
@@ -166,7 +168,7 @@ def _index(docs: DataFrame, k: int, p: int, least: int, buckets: int, flags: np.
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, common = given.value
         for _, sets in blocks(batches, 0, k):
-            place = sets.k1 & np.uint64(FILTER_BITS - 1)
+            place = sets.k1 & np.uint64(8 * len(flags) - 1)
             passed = (flags[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
             sets = _distinct(sets.take(passed.astype(bool)), least)
             if not len(sets.n):
@@ -332,21 +334,19 @@ def _light_links(classes: DataFrame, p: int, top: int) -> DataFrame:
     return found.select(F.col("key").alias("a"), F.col("least.key").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents linked by the Jaccard similarity of their sets of ``k``-word shingles, at least ``percent`` hundredths: (doc_id, n_shingles, component_id).
-
-    A-Z are lower-cased; words are runs other than blanks and the characters 9 to 13. A text of fewer words is one shingle; a null text or one without words has an empty
-    set and links with nothing, so its component_id is its own id. component_id is the smallest id that links reach. Returns one row for each row of ``docs``, repeated rows
-    too; null ids are never the smallest. An empty table gives no rows. Other columns are ignored.
-    """
-    p = percent
+def _linked(docs: DataFrame, k: int, p: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n, key), and classes of equal sets (key, component_id, first_null, first_id, first_key): the smallest id of the class's
+    component, and that of its rows that comes first by id, null ids last, and then by a hash of the text."""
     if not 50 <= p <= 100:
         raise ValueError("percent is from 50 to 100")
     share = min(1000, max(50, 25 * (100 - p)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     texts = rows.select("text")
     described = settle(_describe(rows, k, share), "sets")
-    classes = settle(described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("ck").alias("ck"), F.first("sampled").alias("sampled"), F.first("small").alias("small")), "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("first_null"), F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
+    classes = settle(
+        described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.min(first).alias("row"), *(F.first(c).alias(c) for c in ("n", "ck", "sampled", "small"))), "classes"
+    )
     capped = F.least(F.col("n"), F.lit(4 * SMALL))
     histogram = {r["n"]: r["c"] for r in classes.groupBy(capped.alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     top = boundary(p, histogram)
@@ -358,30 +358,54 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         credit = screened.where("kind = 0").groupBy(F.col("value").alias("ck")).agg(F.sum("n").alias("credit"))
         may_lack = F.col("n") - F.ceil(F.lit(p) * F.col("n") / 100 - 1e-9)
         left = classes.where(F.col("n") >= least).join(credit, "ck", "left").where(F.coalesce("credit", F.lit(0)) >= F.col("sampled") - may_lack)
-        v = F.col("ck").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-        left = settle(left.select("n", v.alias("v")), "screened")
-        flags = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for r in left.groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m")).collect():
+        left = settle(left.select("n", "ck"), "screened")
+        kept, kept_tokens = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        bits = filter_bits(kept, MOST_BITS)
+        v = (F.col("ck").bitwiseAND(F.lit(bits - 1)) + 1).alias("v")
+        flags = np.zeros(bits // 8, dtype=np.uint8)
+        for r in left.select(v).groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m")).collect():
             flags[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-        kept_tokens = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         often = screened.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= max(count, 4 * COMMON))
         common = np.sort(np.array([r["value"] for r in often.collect()], dtype=np.int64).view(np.uint64))
         if kept_tokens:
             sets = settle(_index(texts, k, p, least, max(16, kept_tokens // (2 * BUCKET)), flags, common), "index")
             links = links.unionByName(_heavy_links(sets, p))
     label = components(links)
-    members = classes.join(label.select(F.col("node").alias("key"), "component"), "key")
-    smallest = members.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = members.join(smallest, "component").select("key", F.col("component_id").alias("_linked"))
-    named = settle(classes.select("key", "id").join(linked, "key", "left").select("key", F.coalesce("_linked", "id").alias("component_id")), "named")
-    return described.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")).join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    members = classes.select("key", "id", "row").join(label.select(F.col("node").alias("key"), "component"), "key")
+    smallest = members.groupBy("component").agg(F.min("id").alias("_id"), F.min("row").alias("_row"))
+    linked = members.select("key", "component").join(smallest, "component").select("key", "_id", "_row")
+    named = classes.select("key", "id", "row").join(linked, "key", "left").select("key", F.coalesce("_id", "id").alias("component_id"), F.coalesce("_row", "row").alias("row"))
+    return described.select("doc_id", "text_key", "n", "key"), settle(named.select("key", "component_id", "row.*"), "named")
+
+
+def _with_class(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their class, null for empty sets. Classes of many rows are few, so they are broadcast and their rows stay where they are."""
+    total = rows.count()
+    often = rows.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * HEAVY > total).select("key")
+    often = settle(named.join(often, "key"), "heavy")
+    keyed = rows.withColumn("key", F.when(F.col("n") > 0, F.col("key")))
+    hot = keyed.join(F.broadcast(often.select("key", F.lit(True).alias("hot"))), "key", "left")
+    return hot.where("hot").drop("hot").join(F.broadcast(often), "key").unionByName(hot.where("hot IS NULL").drop("hot").join(named, "key", "left"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents linked by the Jaccard similarity of their sets of ``k``-word shingles, at least ``percent`` hundredths: (doc_id, n_shingles, component_id).
+
+    A-Z are lower-cased; words are runs other than blanks and the characters 9 to 13, of any length. A text of fewer words is one shingle; a null text or one without words has an empty
+    set and links with nothing, so its component_id is its own id. component_id is the smallest id that links reach. Returns one row for each row of ``docs``, repeated rows
+    too; null ids are never the smallest. An empty table gives no rows. Other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
+    """
+    rows, named = _linked(docs, k, percent, id_col, text_col)
+    return _with_class(rows, named).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked documents, the one with the smallest id, and all documents that link with nothing; all columns are kept.
 
-    Rows that repeat an id are all kept or all dropped with it; rows with a null id are kept.
+    Null ids come last; of rows that share an id, the hash of the text decides; of rows alike in id and text, one is kept. Rows with a null text or without
+    words are all kept. An empty table gives no rows.
     """
-    found = jaccard_components(docs, k, percent, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    rows, named = _linked(docs, k, percent, id_col, text_col)
+    best = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    decided = _with_class(rows, named).where("n > 0").select("doc_id", F.col("text_key").alias("key"), best.alias("kept"))
+    return keep_chosen(docs, decided, F.xxhash64(docs[text_col]), id_col)

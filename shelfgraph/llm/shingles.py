@@ -15,7 +15,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_TABLE = np.random.default_rng(11).integers(0, 1 << 63, (64, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLE = np.random.default_rng(11).integers(0, (1 << 64) - 1, (64, 256), dtype=np.uint64)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BREAK = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -26,6 +26,16 @@ def mix(x: np.ndarray, by: np.uint64 = _B) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def byte_values(data: np.ndarray, place: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A random number for each byte at its place in a run, of 64 places from the table; from then on times another odd factor for each 64 places, so
+    that parts of a run that change places change the sum."""
+    value = table[place & 63, data]
+    far = np.flatnonzero(place >= 64)
+    if len(far):
+        value[far] *= mix((place[far] >> 6).astype(np.uint64) * _A + _C) | np.uint64(1)
+    return value
+
+
 def _slices(raw: bytes) -> Iterator[tuple[int, bytes]]:
     at = 0
     while at < len(raw):
@@ -52,7 +62,7 @@ def word_keys(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         step = np.zeros(len(data), dtype=np.int64)
         step[begins] = np.diff(begins, prepend=0)
         inside = np.arange(len(data)) - np.cumsum(step)
-        value = _TABLE[inside & 63, data] * (np.uint64(2) * (inside >> 6).astype(np.uint64) + np.uint64(1))
+        value = byte_values(data, inside, _TABLE)
         value[space] = 0
         keys.append(mix(np.add.reduceat(value, begins)))
         places.append(begins + at)

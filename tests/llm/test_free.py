@@ -16,7 +16,7 @@ from shelfgraph.llm.bpe import MergeAutomaton, WordBpe, encode_documents
 from shelfgraph.llm.cache import Memo
 from shelfgraph.llm.common import by_bytes
 from shelfgraph.llm.jaccard_join import boundary, drop_near_copies, jaccard_components
-from shelfgraph.llm.shingles import shingle_sets
+from shelfgraph.llm.shingles import shingle_sets, word_keys
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -71,6 +71,24 @@ def test_near_copies_of_nothing(spark):
     assert drop_near_copies(spark.createDataFrame([(3, "a b c d e f"), (1, "A b c d e f"), (2, None), (None, "q")], "doc_id long, text string")).count() == 3
 
 
+def test_near_copies_by_row(spark):
+    """Null ids, an id of two texts, rows alike, and long texts: one row of each group stays, and no other row goes with it."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, "a b c d e f"), (None, "A b c d e f"), (4, "p q r s t u"), (4, "v w x y z a"), (5, "P q r s t u"), (7, long), (8, long + " end"), (9, "k l m n o p"), (9, "k l m n o p"), (10, None), (10, None), (11, " ")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, text_key string").repartition(4)
+    got = drop_near_copies(docs)
+    left = [(r["doc_id"], (r["text"] or "").lower()) for r in got.collect()]
+    assert got.columns == docs.columns and sorted(map(str, left)) == sorted(map(str, [(None, "a b c d e f"), (4, "p q r s t u"), (4, "v w x y z a"), (7, long), (9, "k l m n o p"), (10, ""), (10, ""), (11, " ")]))
+
+
+def test_words_whose_blocks_change_places(spark):
+    a, b = "a" * 64, "b" * 64
+    words = [a + b + b + a, b + a + a + b, a + b + a + b, b + a + b + a, a + a + b + b, b + b + a + a, (a + b + b + a) * 3]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs, 3, 90).collect())) == brute(list(enumerate(words)), 3, 90)
+    assert len(set(word_keys(" ".join(words).encode())[0].tolist())) == len(words)
+
+
 def test_boundary_follows_cost():
     assert boundary(90, {12: 1000}) >= 12 and boundary(90, {60: 1000}) < 60
 
