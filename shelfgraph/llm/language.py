@@ -17,22 +17,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from shelfgraph.llm.common import remainder
+from shelfgraph.llm.common import by_bytes, remainder, settle
 
-#: Texts for each language, about, and words of each, that the model is learned from.
-TEXTS_PER_LANG, WORDS_PER_LANG = 1000, 12_000
+#: Texts of each language, about, that the model is learned from.
+TEXTS_PER_LANG = 1000
 #: Rounds of expectation maximisation, what a piece has before any count, the chance of a letter outside the vocabulary.
 ROUNDS, PRIOR, ODD = 2, 0.01, 1e-7
-#: Longest piece used.
-LONGEST = 10
 START = "▁"
-#: Distinct pieces of text that a worker remembers, and characters that it handles at once.
-REMEMBERED, SLICE = 400_000, 2_000_000
+#: Letters of a word that are scored side by side with other words; a longer one is scored by itself, and learned from in parts of so many letters.
+SIDE = 40
+#: Numbers that a worker's memory of pieces of text may hold, those of one table, bytes of text in one batch, and characters that are handled at once.
+REMEMBERED, CELLS, BATCH_BYTES, SLICE = 2_000_000, 2_000_000, 4 << 20, 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _GAP = re.compile(r"\s")
-_WORD = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile("[A-Za-z]+")
 
 
 def vocabulary(path: str) -> list[str]:
@@ -41,13 +40,15 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= LONGEST and p == p.lower() and p.removeprefix(START).isalpha() or p == START})
+    return sorted({p for p in pieces if p == p.lower() and p.removeprefix(START).isalpha() or p == START})
 
 
 def words_of(piece: str) -> list[str]:
-    """Runs of letters, in lower case, each after the mark of a word's start."""
-    piece = piece.lower()
-    return [START + piece] if piece.isalpha() else [START + w for w in _WORD.findall(piece)]
+    """Runs of letters (``str.isalpha``), in lower case, each after the mark of a word's start."""
+    if piece.isalpha():
+        return [START + piece.lower()]
+    runs = _ASCII.findall(piece) if piece.isascii() else "".join([c if c.isalpha() else " " for c in piece]).split()
+    return [START + w.lower() for w in runs]
 
 
 def _trie(pieces: dict[str, tuple[float, ...]]) -> dict:
@@ -60,17 +61,18 @@ def _trie(pieces: dict[str, tuple[float, ...]]) -> dict:
     return root
 
 
-def forward(word: str, trie: dict, k: int) -> list[float]:
-    """log of the word's probability in each of ``k`` languages, over all segmentations; rescaled as it goes, so a word of any length will do."""
-    n, odd, scale = len(word), (ODD,) * k, 0.0
-    alpha: list[list[float] | None] = [None] * (n + 1)
+def forward(word: str, trie: dict, k: int, longest: int) -> list[float]:
+    """log of the word's probability in each of ``k`` languages, over all segmentations. Only the places that a piece of ``longest`` letters can reach are
+    held, and rescaled as it goes, so a word of any length will do."""
+    n, odd, scale, span = len(word), (ODD,) * k, 0.0, longest + 1
+    alpha: list[list[float] | None] = [None] * span
     alpha[0] = [1.0] * k
     for i in range(n):
-        a = alpha[i]
-        if i and i % 16 == 0:
-            top = max(max(x) for x in alpha[i : i + LONGEST] if x is not None)
+        a = alpha[i % span]
+        if i % 16 == 0:
+            top = max(max(x) for x in alpha if x is not None)
             scale += math.log(top)
-            for x in alpha[i : i + LONGEST]:
+            for x in alpha:
                 if x is not None:
                     x[:] = [max(v / top, 1e-250) for v in x]
         node, single = trie, False
@@ -81,40 +83,78 @@ def forward(word: str, trie: dict, k: int) -> list[float]:
             p = node.get("")
             if p is not None:
                 single = single or j == i
-                at = alpha[j + 1]
-                alpha[j + 1] = [x * y for x, y in zip(a, p)] if at is None else [z + x * y for x, y, z in zip(a, p, at)]
+                at = alpha[(j + 1) % span]
+                alpha[(j + 1) % span] = [x * y for x, y in zip(a, p)] if at is None else [z + x * y for x, y, z in zip(a, p, at)]
         if not single:
-            at = alpha[i + 1]
-            alpha[i + 1] = [x * y for x, y in zip(a, odd)] if at is None else [z + x * y for x, y, z in zip(a, odd, at)]
-    return [math.log(max(x, 1e-300)) + scale for x in alpha[n]]
-
-
-def _expected(word: str, trie: dict) -> dict[str, float]:
-    """Expected piece counts of a word of at most 40 letters under one language."""
-    n = len(word)
-    arcs: list[list[tuple[int, float]]] = []
-    for i in range(n):
-        node, here = trie, []
-        for j in range(i, n):
-            node = node.get(word[j])
-            if node is None:
-                break
-            if "" in node:
-                here.append((j + 1, node[""][0]))
-        arcs.append(here if here and here[0][0] == i + 1 else [(i + 1, ODD), *here])
-    alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-    alpha[0] = beta[n] = 1.0
-    for i in range(n):
-        for j, p in arcs[i]:
-            alpha[j] += alpha[i] * p
-    for i in reversed(range(n)):
-        beta[i] = sum(p * beta[j] for j, p in arcs[i])
-    out: dict[str, float] = {}
-    if alpha[n] > 0:
+            at = alpha[(i + 1) % span]
+            alpha[(i + 1) % span] = [x * y for x, y in zip(a, odd)] if at is None else [z + x * y for x, y, z in zip(a, odd, at)]
+        alpha[i % span] = None
+    return [math.log(max(x, 1e-300)) + scale for x in alpha[n % span]]
+
+
+class Pieces:
+    """The vocabulary as a sorted table of keys. The number after the last stands for what is no piece."""
+
+    def __init__(self, pieces: list[str]):
+        self.names = sorted(pieces, key=_key)
+        self.keys = np.array([_key(p) for p in self.names], dtype=np.uint64)
+        self.longest = max(map(len, pieces), default=1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64)
+        place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[place] == h, place, len(self.keys))
+
+    def arcs(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(i, j, the number of the piece that each word has from i to j) for words of one length."""
+        n = len(words[0])
+        codes = np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
         for i in range(n):
-            for j, p in arcs[i]:
-                out[word[i:j]] = out.get(word[i:j], 0.0) + alpha[i] * p * beta[j] / alpha[n]
-    return out
+            h = np.zeros(len(words), dtype=np.uint64)
+            for j in range(i, min(n, i + self.longest)):
+                h = h * _P + codes[:, j]
+                yield i, j + 1, self.find(h)
+
+    def forward(self, words: list[str], chance: np.ndarray) -> np.ndarray:
+        """log-probability of each word, all of one length of at most SIDE letters; ``chance`` has a row for each piece, a column for each language, and a last row of zeros."""
+        n, k, none = len(words[0]), chance.shape[1], len(self.keys)
+        alpha = np.zeros((n + 1, len(words), k))
+        alpha[0] = 1.0
+        for i, j, piece in self.arcs(words):
+            p = chance[piece]
+            if j == i + 1:
+                p = np.where((piece < none)[:, None], p, ODD)
+            alpha[j] += alpha[i] * p
+        return np.log(np.maximum(alpha[n], 1e-300))
+
+    def expected(self, words: list[str], times: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces in words of one length, each seen so many times, over all their segmentations in one language."""
+        n, none = len(words[0]), len(self.keys)
+        chance = np.append(chance, 0.0)
+        alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
+        alpha[0] = beta[n] = 1.0
+        arcs = [(i, j, piece, np.where(piece < none, chance[piece], ODD if j == i + 1 else 0.0)) for i, j, piece in self.arcs(words)]
+        for i, j, _, p in arcs:
+            alpha[j] += alpha[i] * p
+        for i, j, _, p in reversed(arcs):
+            beta[i] += p * beta[j]
+        share = np.divide(times, alpha[n], out=np.zeros(len(words)), where=alpha[n] > 0)
+        out = np.zeros(none + 1)
+        for i, j, piece, p in arcs:
+            out += np.bincount(piece, weights=alpha[i] * p * beta[j] * share, minlength=none + 1)
+        return out[:none]
+
+
+def _by_length(words: list[str], most: int) -> Iterator[list[int]]:
+    """Places of words of one length, so many that their letters are at most ``most``."""
+    groups: dict[int, list[int]] = {}
+    for at, w in enumerate(words):
+        groups.setdefault(len(w), []).append(at)
+    for n, at in groups.items():
+        step = max(1, most // n)
+        for i in range(0, len(at), step):
+            yield at[i : i + step]
 
 
 @dataclass
@@ -131,39 +171,22 @@ class Scorer:
 
     def __init__(self, model: PieceModel):
         self.langs, self.k = model.langs, len(model.langs)
-        pieces = sorted((_key(p), v) for p, v in model.pieces.items())
-        self.keys = np.array([x[0] for x in pieces], dtype=np.uint64)
-        # the last row is for what is no piece
-        self.chance = np.array([x[1] for x in pieces] + [(0.0,) * self.k]).reshape(len(pieces) + 1, self.k)
+        self.pieces = Pieces(list(model.pieces))
+        self.chance = np.array([model.pieces[p] for p in self.pieces.names] + [(0.0,) * self.k]).reshape(len(model.pieces) + 1, self.k)
         self.trie = _trie(model.pieces)
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((REMEMBERED, self.k + 1))
+        self.room = max(1000, REMEMBERED // (self.k + 1))
+        self.rows = np.zeros((self.room, self.k + 1))
 
     def words(self, words: list[str]) -> np.ndarray:
         """log-probability of each word in each language, over all segmentations."""
         out = np.zeros((len(words), self.k))
-        by_length: dict[int, list[int]] = {}
-        for at, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(at)
-        for n, at in by_length.items():
-            if n > 40:
+        for at in _by_length(words, CELLS // max(self.k, 1)):
+            if len(words[at[0]]) > SIDE:
                 for i in at:
-                    out[i] = forward(words[i], self.trie, self.k)
-                continue
-            codes = np.array([words[i] for i in at], dtype=f"<U{n}").view(np.uint32).reshape(len(at), n).astype(np.uint64)
-            alpha = np.zeros((n + 1, len(at), self.k))
-            alpha[0] = 1.0
-            for i in range(n):
-                h = np.zeros(len(at), dtype=np.uint64)
-                for j in range(i, min(n, i + LONGEST)):
-                    h = h * _P + codes[:, j]
-                    place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1) if len(self.keys) else np.zeros(len(at), np.int64)
-                    hit = self.keys[place] == h if len(self.keys) else np.zeros(len(at), bool)
-                    p = self.chance[np.where(hit, place, -1)]
-                    if j == i:
-                        p = np.where(hit[:, None], p, ODD)
-                    alpha[j + 1] += alpha[i] * p
-            out[at] = np.log(np.maximum(alpha[n], 1e-300))
+                    out[i] = forward(words[i], self.trie, self.k, self.pieces.longest)
+            else:
+                out[at] = self.pieces.forward([words[i] for i in at], self.chance)
         return out
 
     def _learn(self, pieces: list[str]) -> None:
@@ -185,10 +208,10 @@ class Scorer:
         if not flat:
             return out
         distinct = set(flat)
-        if len(self.index) + len(distinct) > REMEMBERED:
+        if len(self.index) + len(distinct) > self.room:
             self.index.clear()
-        if len(distinct) > REMEMBERED:
-            self.rows = np.zeros((len(distinct), self.k + 1))
+            if len(self.rows) != max(self.room, len(distinct)):
+                self.rows = np.zeros((max(self.room, len(distinct)), self.k + 1))
         fresh = [x for x in distinct if x not in self.index]
         if fresh:
             self._learn(fresh)
@@ -247,56 +270,70 @@ def _key(piece: str) -> int:
     return h
 
 
-def fit(docs: DataFrame, pieces: list[str], by: int = 4, held_out: int = 2) -> PieceModel:
-    """A model of every non-null lang, from a sample of about TEXTS_PER_LANG texts of each, never of rows whose crc32 of the id modulo ``by`` is ``held_out``."""
+def fit(docs: DataFrame, pieces: list[str], by: int = 4, held_out: int = 2, texts: int = TEXTS_PER_LANG) -> PieceModel:
+    """A model of every non-null lang, from a sample of about ``texts`` whole texts of each, never of rows whose crc32 of the id modulo ``by`` is ``held_out``.
+
+    Every word of the sample counts. The counts and each round's expectations are worked out where the texts are; the driver gets a number for each language and piece.
+    """
     known = docs.where(F.col("lang").isNotNull() & (F.coalesce(remainder(F.col("doc_id"), by), F.lit(-1)) != held_out))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.xxhash64("doc_id", F.lit(3)) / F.lit(2.0**64) + 0.5
-    sample = known.join(F.broadcast(sizes.select(F.col("lang").alias("_l"), "n")), F.col("lang") == F.col("_l")).where(draw * F.col("n") < TEXTS_PER_LANG).select("lang", "text")
+    sample = known.join(F.broadcast(sizes.select(F.col("lang").alias("_l"), "n")), F.col("lang") == F.col("_l")).where(draw * F.col("n") < texts).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1, BATCH_BYTES):
             n: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 own = n.setdefault(lang.as_py(), Counter())
                 for piece, times in Counter((text.as_py() or "").split()).items():
                     for w in words_of(piece):
-                        own[w[:41]] += times
+                        for i in range(0, len(w), SIDE):
+                            own[w[i : i + SIDE]] += times
             for lang, own in n.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("at") <= WORDS_PER_LANG)
-    words: dict[str, list[tuple[str, int]]] = {}
-    for r in top.select("lang", "word", "n").collect():
-        words.setdefault(r["lang"], []).append((r["word"], r["n"]))
-    langs = sorted(words)
-    per_lang = []
-    for lang in langs:
-        p = dict.fromkeys(pieces, 1 / len(pieces))
-        for _ in range(ROUNDS):
-            trie, expected = _trie({k: (v,) for k, v in p.items()}), dict.fromkeys(pieces, PRIOR)
-            for word, n in words[lang]:
-                for piece, c in _expected(word, trie).items():
-                    if piece in expected:
-                        expected[piece] += n * c
-            total = sum(expected.values())
-            p = {k: v / total for k, v in expected.items()}
-        per_lang.append(p)
-    used = [k for k in pieces if any(p[k] > 0 for p in per_lang)]
-    return PieceModel(langs, {k: tuple(p[k] for p in per_lang) for k in used})
+    words = settle(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    table = Pieces(pieces)
+    names, number = table.names, {lang: i for i, lang in enumerate(langs)}
+    chance = np.full((len(langs), len(names)), 1 / max(len(names), 1))
+    for _ in range(ROUNDS if langs and names else 0):
+        given = docs.sparkSession.sparkContext.broadcast(chance)
+
+        def expect(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            chance, table = given.value, Pieces(names)
+            total = np.zeros(chance.shape)
+            for batch in batches:
+                of, ws, n = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+                own = np.array([number[x] for x in of])
+                for k in np.unique(own).tolist():
+                    mine = np.flatnonzero(own == k)
+                    some = [ws[i] for i in mine]
+                    for at in _by_length(some, CELLS // (2 * table.longest)):
+                        total[k] += table.expected([some[i] for i in at], n[mine[at]].astype(float), chance[k])
+            k, piece = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[k, piece])], names=["k", "piece", "c"])
+
+        counted = words.mapInArrow(expect, "k int, piece int, c double").groupBy("k", "piece").agg(F.sum("c").alias("c"))
+        new = np.full(chance.shape, PRIOR)
+        for r in counted.collect():
+            new[r["k"], r["piece"]] += r["c"]
+        chance = new / new.sum(1, keepdims=True)
+        given.destroy()
+    return PieceModel(langs, {p: tuple(chance[:, i].tolist()) for i, p in enumerate(names)})
 
 
 def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each row's whole text; ``und`` and 0 where the text is null or has no letter, or no language was learned.
 
-    Equal scores give the language that is first by name. Repeated rows, null ids and other columns need no care; nothing is shuffled.
+    A letter is what ``str.isalpha`` takes for one. Equal scores give the language that is first by name. Texts of any length, repeated rows and null ids need no care; an
+    empty table gives no rows; other columns are ignored. Nothing is shuffled.
     """
     langs, pieces = model.langs, model.pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = PieceModel(langs, pieces).scorer()
-        for batch in batches:
+        for batch in by_bytes(batches, 1, BATCH_BYTES):
             found = scorer.best(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -9,12 +9,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfgraph.llm import language, line_crf, toxicity
 from shelfgraph.llm.bpe import MergeAutomaton, WordBpe, encode_documents
 from shelfgraph.llm.cache import Memo
-from shelfgraph.llm.common import by_bytes
+from shelfgraph.llm.common import by_bytes, remainder
 from shelfgraph.llm.jaccard_join import boundary, drop_near_copies, jaccard_components
 from shelfgraph.llm.shingles import shingle_sets, word_keys
 
@@ -165,21 +166,63 @@ def test_memo_is_bounded():
     assert [memo["x" * i] for i in range(1, 60)] == list(range(1, 60)) and len(memo) + len(memo.old) <= 20
 
 
+def segmentations(word, pieces):
+    if not word:
+        yield []
+    for p in [p for p in pieces if word.startswith(p)] + ([] if word[:1] in pieces else [word[:1]] if word else []):
+        yield from ([p, *rest] for rest in segmentations(word[len(p) :], pieces))
+
+
 def test_language(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    """Held-out accuracy, and each prediction against a sum over all segmentations."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs, language.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
-    got = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
-    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None, "a"), (2, "123 !!", "b"), (None, "the and of " * 50_000, "c"), (3, "x" * 5000, "d")], "doc_id long, text string, lang string")
+    predicted = language.predict(docs, model).withColumn("out", remainder(F.col("doc_id"), 4) == 2).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in predicted if r["out"] and r["lang"]]
+    assert len(held) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.95 and all(0 <= r["score"] <= 1 for r in predicted)
+    odd = spark.createDataFrame(
+        [(1, None, "a"), (2, "123 !!", "b"), (None, "the and of " * 50_000, "c"), (3, "x" * 5000, "d"), (4, "½ ² ٣ _ \u0301", "e"), (4, "½ ² ٣ _ \u0301", "e"), (5, "", "f")], "doc_id long, text string, score string"
+    )
     rows = {r["doc_id"]: r["lang_pred"] for r in language.predict(odd, model).collect()}
-    assert rows[1] == rows[2] == "und" and rows[None] == "en" and rows[3] in model.langs
-    assert language.predict(odd, language.fit(docs.limit(0), ["a"])).where("lang_pred = 'und'").count() == 4
+    assert [rows[i] for i in (1, 2, 4, 5)] == ["und"] * 4 and rows[None] == "en" and rows[3] in model.langs
+    assert language.predict(odd, model).count() == 7 and language.predict(odd.limit(0), model).count() == 0
+    assert language.predict(odd, language.fit(docs.limit(0), ["a"])).where("lang_pred = 'und'").count() == 7
+
+
+def test_language_by_brute_force(spark):
+    pieces = ["▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "▁ab", "cab"]
+    texts = [("x", "abc ab cab a"), ("x", "cab cab b"), ("y", "bc bc abz c"), ("y", "bbc ccb"), ("y", "b" * 90)]
+    docs = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(texts)], "doc_id long, lang string, text string")
+    model = language.fit(docs, pieces, by=1, held_out=5)
+    chance = {lang: dict.fromkeys(pieces, 1 / len(pieces)) for lang in "xy"}
+    odd = lambda lang, p: chance[lang].get(p, language.ODD)
+    total = lambda lang, w: sum(np.prod([odd(lang, p) for p in s]) for s in segmentations(w, pieces))
+    for _ in range(language.ROUNDS):
+        new = {lang: dict.fromkeys(pieces, language.PRIOR) for lang in "xy"}
+        for lang, text in texts[:4]:
+            for w in text.split():
+                for s in segmentations("▁" + w, pieces):
+                    for p in s:
+                        if p in pieces:
+                            new[lang][p] += np.prod([odd(lang, q) for q in s]) / total(lang, "▁" + w)
+        for w in ("▁" + "b" * 39, "b" * 40, "b" * 11):  # one way each
+            for c in w:
+                new["y"][c] += 1
+        chance = {lang: {p: c / sum(new[lang].values()) for p, c in new[lang].items()} for lang in "xy"}
+    assert model.langs == ["x", "y"] and all(np.allclose(model.pieces[p], [chance["x"][p], chance["y"][p]]) for p in pieces)
+    some = ["cab bc", "z", "abz-cab a", "bbb"]
+    rows = language.predict(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for t, r in zip(some, rows):
+        log = [sum(np.log(total(lang, "▁" + w)) for w in re.findall("[a-z]+", t)) for lang in "xy"]
+        assert r["lang_pred"] == "xy"[int(np.argmax(log))] and np.isclose(r["score"], 1 / np.exp(np.array(log) - max(log)).sum())
 
 
 def test_forward_sums_all_segmentations():
     model = language.PieceModel(["x"], {"▁": (0.1,), "a": (0.2,), "b": (0.3,), "ab": (0.15,), "▁a": (0.05,)})
     want = np.log(0.1 * 0.2 * 0.3 + 0.1 * 0.15 + 0.05 * 0.3)
-    assert np.isclose(model.scorer().words(["▁ab"])[0, 0], want) and np.isclose(language.forward("▁ab", language._trie(model.pieces), 1)[0], want)
+    assert np.isclose(model.scorer().words(["▁ab"])[0, 0], want) and np.isclose(language.forward("▁ab", language._trie(model.pieces), 1, 2)[0], want)
+    long = "▁" + "abba" * 9
+    assert np.isclose(model.scorer().words([long])[0, 0], language.forward(long, language._trie(model.pieces), 1, 2)[0])
 
 
 def test_quality(spark):
