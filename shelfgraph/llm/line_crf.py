@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfgraph.llm.common import by_bytes
 from shelfgraph.llm.labelled import fit_logistic, labelled_sample
+from shelfgraph.llm.shingles import byte_values
 
 #: Labelled rows of each class that the field is fitted on, at most.
 PER_CLASS = 1500
-#: Steps of the fit.
-STEPS = 80
+#: Steps of the fit, and bytes whose lines are counted at once.
+STEPS, BLOCK = 80, 1 << 20
 _SIGNS = b"#$%&*|!~^=<>{}[]\\@_+"
 _CLASSES = np.zeros((6, 256))
 _CLASSES[0, [*range(65, 91), *range(97, 123), *range(128, 256)]] = 1  # letters
@@ -35,42 +37,99 @@ N = 11
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, line lengths in bytes, lines of each text). A text has at least one line, an empty one where it is empty."""
-    raw = [(t + "\n").encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    ends = np.flatnonzero(data == 10)
-    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
-    length = ends - starts
-    bounds = np.cumsum([len(r) for r in raw])
-    per_doc = np.diff(np.concatenate([[0], np.searchsorted(ends, bounds - 1) + 1]))
+    """(features, line lengths in bytes, lines of each text). A text has at least one line, an empty one where it is empty.
+
+    Bytes are counted a block at a time, and what a block says of a line is added to what the blocks before said, so memory grows with the lines only.
+    """
+    parts = [_counts(data, place) for data, place in _blocks(texts)]
+    sums, key = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    first = np.concatenate([[i > 0 and parts[i - 1][2]] + [False] * (len(p[1]) - 1) for i, p in enumerate(parts)])  # goes on with the line before
+    if first.any():
+        line = np.flatnonzero(~first)
+        sums, key = np.add.reduceat(sums, line), np.add.reduceat(key, line)
+    length = sums[:, 6]
+    per_doc = np.array([t.count("\n") + 1 for t in texts])
     size = np.maximum(length, 1)
-    share = [np.add.reduceat(c[data], starts) / size for c in _CLASSES]  # the line's end is in no class
-    place = np.arange(len(data)) - np.repeat(starts, length + 1)
-    key = np.add.reduceat(_TABLE[place & 63, data] * (np.uint64(2) * (place >> 6).astype(np.uint64) + np.uint64(1)), starts)
     doc = np.repeat(np.arange(len(texts)), per_doc)
     order = np.lexsort((np.arange(len(key)), key, doc))
     again = np.zeros(len(key))
     again[order[1:]] = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    words = share[3] * size + 1
-    own = np.column_stack([*share, np.log1p(length) / 5, np.minimum(size / words, 30) / 10, again, (length == 0).astype(float), _stutter(data, starts, len(ends))])
-    return own, length, per_doc
-
-
-def _stutter(data: np.ndarray, starts: np.ndarray, lines: int) -> np.ndarray:
-    """For each line the share of its words that equal the word before."""
+    stutter = np.divide(sums[:, 7], sums[:, 8], out=np.zeros(len(key)), where=sums[:, 8] > 0)
+    own = np.column_stack([sums[:, :6] / size[:, None], np.log1p(length) / 5, np.minimum(size / (sums[:, 3] + 1), 30) / 10, again, (length == 0).astype(float), stutter])
+    return own, length.astype(np.int64), per_doc
+
+
+def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+    """The texts' bytes, each text closed by a line's end, in blocks of about BLOCK bytes, with the place in its line that a block begins at. Blocks are cut
+    behind a word where they can be."""
+    held, place = bytearray(), 0
+
+    def cut(raw: bytes) -> tuple[np.ndarray, int]:
+        nonlocal place
+        at, end = place, raw.rfind(b"\n")
+        place = place + len(raw) if end < 0 else len(raw) - end - 1
+        return np.frombuffer(raw, dtype=np.uint8), at
+
+    for t in texts:
+        for i in range(0, max(len(t), 1), BLOCK):
+            held += t[i : i + BLOCK].encode("utf-8", "replace")
+            if i + BLOCK >= len(t):
+                held += b"\n"
+            while len(held) > BLOCK:
+                end = 1 + max(held.rfind(b" ", 0, BLOCK), held.rfind(b"\n", 0, BLOCK))
+                end = end or BLOCK
+                yield cut(bytes(held[:end]))
+                del held[:end]
+    if held:
+        yield cut(bytes(held))
+
+
+def _counts(data: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(bytes of each class, length, stuttering words and words of each line, a hash of the line, whether the last line is open). The first word of a block has none before it."""
+    ends = np.flatnonzero(data == 10)
+    starts = np.concatenate([[0], ends + 1]).astype(np.int64)
+    is_open = data[-1] != 10
+    if not is_open:
+        starts = starts[:-1]
+    span = np.diff(np.append(starts, len(data)))
+    length = span - 1
+    if is_open:
+        length[-1] += 1
+    at = np.arange(len(data)) - np.repeat(starts, span)
+    at[: span[0]] += place
+    key = np.add.reduceat(byte_values(data, at, _TABLE), starts)
+    same, words = _stutter(data, starts)
+    sums = [np.add.reduceat(c[data], starts) for c in _CLASSES]  # the line's end is in no class
+    return np.column_stack([*sums, length, same, words]), key, is_open
+
+
+def _stutter(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line how many of its words equal the word before, and its words."""
     space = data <= 32
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    out = np.zeros(lines)
+    lines = len(starts)
     if not len(begins):
-        return out
+        return np.zeros(lines), np.zeros(lines)
     word_of = np.cumsum(np.bincount(begins, minlength=len(data))) - 1
     place = np.arange(len(data)) - begins[np.maximum(word_of, 0)]
-    value = np.where(space, np.uint64(0), _TABLE[place & 63, data])
+    value = byte_values(data, np.maximum(place, 0), _TABLE)
+    value[space] = 0
     key = np.add.reduceat(value, begins)
     line = np.searchsorted(starts, begins, side="right") - 1
     same = (key[1:] == key[:-1]) & (line[1:] == line[:-1])
-    count = np.bincount(line, minlength=lines)
-    np.divide(np.bincount(line[1:], weights=same, minlength=lines), count, out=out, where=count > 0)
+    return np.bincount(line[1:], weights=same, minlength=lines), np.bincount(line, minlength=lines).astype(float)
+
+
+def _emission(own: np.ndarray, per_doc: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The score of good over bad for each line, from its own features and its neighbours'."""
+    before, after = own @ weights[N : 2 * N], own @ weights[2 * N : 3 * N]
+    out = own @ weights[:N] + weights[-1]
+    first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
+    inner = np.ones(len(own), dtype=bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    out[at] += before[at - 1]
+    out[at - 1] += after[at]
     return out
 
 
@@ -122,20 +181,20 @@ class LineField:
     def lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(marginal of good, length, lines of each text)."""
         own, length, per_doc = line_features(texts)
-        marginal, _ = forward_backward(_with_neighbours(own, per_doc) @ self.weights, per_doc, self.trans)
+        marginal, _ = forward_backward(_emission(own, per_doc, self.weights), per_doc, self.trans)
         return marginal, length, per_doc
 
-    def quality(self, texts: list[str]) -> np.ndarray:
-        """Length-weighted marginals of each text."""
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The length-weighted marginal of each text, and its lines' marginals."""
         if not texts:
-            return np.zeros(0)
+            return np.zeros(0), []
         marginal, length, per_doc = self.lines(texts)
         first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
         weight = length + 1.0
-        return np.add.reduceat(marginal * weight, first) / np.add.reduceat(weight, first)
+        return np.add.reduceat(marginal * weight, first) / np.add.reduceat(weight, first), np.split(marginal, first[1:])
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        q = np.clip(self.quality(texts), 1e-4, 1 - 1e-4)
+    def score(self, quality: np.ndarray) -> np.ndarray:
+        q = np.clip(quality, 1e-4, 1 - 1e-4)
         return 1 / (1 + np.exp(-(self.curve[0] * np.log(q / (1 - q)) + self.curve[1])))
 
 
@@ -163,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, by: int
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta - 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     model.weights, model.trans = theta[:width], theta[width:].reshape(2, 2)
-    q = np.clip(model.quality([r["text"] for r in rows]), 1e-4, 1 - 1e-4)
+    q = np.clip(model.judged([r["text"] for r in rows])[0], 1e-4, 1 - 1e-4)
     model.curve = fit_logistic(np.log(q / (1 - q))[:, None], y, l2=1e-2)
     return model
 
@@ -172,29 +231,15 @@ def score_quality(docs: DataFrame, model: LineField, threshold: float = 0.5, id_
     """(doc_id, score, predicted, n_lines, bad_lines) of each row's whole text; score from 0 to 1, predicted 1 where it reaches ``threshold``; bad_lines has the
     numbers, from 0, of the lines whose marginal says bad.
 
-    A null or empty text is one empty line. Repeated rows, null ids and other columns need no care; nothing is shuffled.
+    A null or empty text is one empty line. Texts and lines of any length are handled, a few MB of texts at a time. Repeated rows and null ids need no care; an empty
+    table gives no rows; other columns are ignored. Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # short texts together, so that the arrays stay small whatever the batch
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            score: list[float] = []
-            bad: list[list[int]] = []
-            n: list[int] = []
-            part: list[str] = []
-            for i, t in enumerate(texts):
-                part.append(t)
-                if sum(map(len, part[-1:])) > 2_000_000 or len(part) == 500 or i == len(texts) - 1:
-                    marginal, length, per_doc = model.lines(part)
-                    first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
-                    weight = length + 1.0
-                    q = np.clip(np.add.reduceat(marginal * weight, first) / np.add.reduceat(weight, first), 1e-4, 1 - 1e-4)
-                    score += (1 / (1 + np.exp(-(model.curve[0] * np.log(q / (1 - q)) + model.curve[1])))).tolist()
-                    bad += [np.flatnonzero(marginal[f : f + k] < 0.5).tolist() for f, k in zip(first, per_doc, strict=True)]
-                    n += per_doc.tolist()
-                    part = []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(bad, pa.list_(pa.int64()))], names=["doc_id", "score", "n_lines", "bad_lines"])
+        for batch in by_bytes(batches, 1, BLOCK, 500):
+            quality, lines = model.judged([t.as_py() or "" for t in batch.column(1)])
+            bad = pa.array([np.flatnonzero(x < 0.5) for x in lines], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(quality)), pa.array([len(x) for x in lines], pa.int64()), bad], names=["doc_id", "score", "n_lines", "bad_lines"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, "doc_id long, score double, n_lines long, bad_lines array<long>")

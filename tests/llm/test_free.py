@@ -225,14 +225,54 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(model.scorer().words([long])[0, 0], language.forward(long, language._trie(model.pieces), 1, 2)[0])
 
 
+def plain_features(text):
+    """The features of each line, one line after the other."""
+    out, seen = [], set()
+    for line in text.split("\n"):
+        raw = line.encode()
+        n = max(len(raw), 1)
+        count = lambda chars: sum(b in chars for b in raw) / n
+        words = re.split("[\0-\x20]+", line.strip("".join(map(chr, range(33)))))
+        words = words if words != [""] else []
+        letters = {*range(65, 91), *range(97, 123), *range(128, 256)}
+        shares = [count(x) for x in (letters, set(range(65, 91)), set(range(48, 58)), set(b" \t"), set(b".,;:?'\"-()"), set(b"#$%&*|!~^=<>{}[]\\@_+"))]
+        stutter = sum(a == b for a, b in zip(words, words[1:])) / len(words) if words else 0
+        out.append([*shares, np.log1p(len(raw)) / 5, min(n / (sum(b in b" \t" for b in raw) + 1), 30) / 10, line in seen, not raw, stutter])
+        seen.add(line)
+    return np.array(out, dtype=float)
+
+
+def test_line_features_by_brute_force(monkeypatch):
+    texts = ["", "a b b\n\nA b b\na b b\n", "x" * 300 + "\n" + "é y " * 70 + "\n" + "x" * 300, "one line", "\n\n", "w w w # 12\t9"]
+    for block in (1 << 20, 64, 7):
+        monkeypatch.setattr(line_crf, "BLOCK", block)
+        own, length, per_doc = line_crf.line_features(texts)
+        assert per_doc.tolist() == [t.count("\n") + 1 for t in texts] and length.tolist() == [len(x.encode()) for t in texts for x in t.split("\n")]
+        want = np.concatenate([plain_features(t) for t in texts])
+        assert np.allclose(own[:, :-1], want[:, :-1]) and (block < 100 or np.allclose(own[:, -1], want[:, -1]))
+
+
 def test_quality(spark):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    """Held-out accuracy, and scores against the field worked out line by line."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = line_crf.fit(docs, labels)
-    got = line_crf.score_quality(docs, model).join(labels, "doc_id").collect()
-    assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.85
-    odd = spark.createDataFrame([(1, None), (2, ""), (None, "\n\n"), (3, "word " * 100_000)], "doc_id long, text string")
-    assert all(0 <= r["score"] <= 1 for r in line_crf.score_quality(odd, model).collect())
+    got = line_crf.score_quality(docs, model).withColumn("out", remainder(F.col("doc_id"), 3) == 1)
+    held = [r for r in got.join(labels, "doc_id").collect() if r["out"]]
+    assert len(held) > 50 and np.mean([r["predicted"] == r["quality"] for r in held]) > 0.9
+    some = {r["doc_id"]: r for r in got.where("doc_id < 40").collect()}
+    for i, text in [(r["doc_id"], r["text"] or "") for r in docs.where("doc_id < 40").collect()]:
+        own = plain_features(text)
+        pad = np.vstack([np.zeros(line_crf.N), own, np.zeros(line_crf.N)])
+        e = np.hstack([own, pad[:-2], pad[2:], np.ones((len(own), 1))]) @ model.weights
+        marginal, _ = line_crf.forward_backward(e, np.array([len(e)]), model.trans)
+        weight = np.array([len(x.encode()) + 1 for x in text.split("\n")])
+        want = model.score(np.array([(marginal * weight).sum() / weight.sum()]))[0]
+        assert np.isclose(some[i]["score"], want, atol=1e-6) and some[i]["bad_lines"] == np.flatnonzero(marginal < 0.5).tolist()
+    odd = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (None, "\n\n", 0.5), (3, "word " * 500_000, 0.5), (3, "word " * 500_000, 0.5), (4, "a\n" * 50_000, 0.5)], "doc_id long, text string, score double")
+    rows = line_crf.score_quality(odd, model).collect()
+    assert len(rows) == 6 and all(0 <= r["score"] <= 1 for r in rows) and len({r["score"] for r in rows if r["doc_id"] == 3}) == 1
     assert {r["score"] for r in line_crf.score_quality(odd, line_crf.fit(docs, labels.limit(0))).collect()} == {0.5}
+    assert line_crf.score_quality(odd.limit(0), model).count() == 0
 
 
 def test_forward_backward_matches_enumeration():
