@@ -153,8 +153,8 @@ SQL |= {
     "product_group": "SELECT * FROM (VALUES ('Mug red', 'G7', '9'), ('Mug blue', 'G7', '9')) t(name, g, price)",
     "itemlist": "SELECT * FROM (VALUES ('One', '1'), ('Two', '2')) t(name, price)",
     "signal_gate": "SELECT '' AS name WHERE false",
-    "extract_platform": "SELECT 'Tee' AS p, '790' AS price, 3::BIGINT AS score, 'https://t.test/products/tee' AS url, 'https://cdn.test/t.jpg' AS image, v, vp AS vprice FROM (VALUES ('S', '790'), ('M', '80000')) t(v, vp)",
-    "extract_attribute": "SELECT 'Bag' AS p, '42' AS price, 2::BIGINT AS score",
+    "extract_platform": "SELECT 'Tee' AS p, '645' AS price, 3::BIGINT AS score, 'https://t.test/products/tee' AS url, 'https://cdn.test/t.jpg' AS image, v, vp AS vprice FROM (VALUES ('S', '645'), ('M', '66000')) t(v, vp)",
+    "extract_attribute": "SELECT 'Bag' AS p, '56' AS price, 2::BIGINT AS score",
     "extract_next": "SELECT * FROM (VALUES ('Pan', '30', 3000::BIGINT, NULL::VARCHAR, 0::BIGINT), ('Pot', '45', 4500, NULL, 0)) t(name, price, cents, cur, score)",
     "extract_hypernova": "SELECT 'Serum' AS name, '590' AS price, 'https://l.test/one' AS url, 'https://l.test/img/1.jpg' AS image",
     "extract_microdata": "SELECT 'Towel' AS name, '15' AS price, 'USD' AS cur, 'https://m.test/p/1' AS url, 'https://m.test/t.png' AS image, 'Soft towel' AS d",

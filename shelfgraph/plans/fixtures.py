@@ -14,7 +14,7 @@ CHAIR = {"@type": "Product", "@id": "chair-9", "name": "Chair", "url": "https://
 GROUP = {"@type": "ProductGroup", "productGroupID": "G7", "hasVariant": [{"@type": "Product", "sku": "G7-red", "name": "Mug red", "offers": {"price": "9"}}, {"@type": "Product", "sku": "G7-blue", "name": "Mug blue", "offers": {"price": "9"}}]}
 ITEMS = {"@type": "ItemList", "itemListElement": [{"@type": "ListItem", "item": {"@type": "Product", "sku": "i1", "name": "One", "offers": {"price": "1"}}}, {"@type": "ListItem", "item": {"@type": "Product", "sku": "i2", "name": "Two", "offers": {"price": "2"}}}]}
 FAQ = {"@type": "Product", "name": "How to return an order"}
-PLATFORM = [{"id": 501, "title": "Tee", "price": 79000, "price_min": "790.0", "url": "/products/tee", "featured_image": {"img_url": "//cdn.test/t.jpg"}, "variants": [{"id": 1, "title": "S", "price": 79000}, {"id": "m", "title": "M", "price": 80000}]}]
+PLATFORM = [{"id": 501, "title": "Tee", "price": 64500, "price_min": "645.0", "url": "/products/tee", "featured_image": {"img_url": "//cdn.test/t.jpg"}, "variants": [{"id": 1, "title": "S", "price": 64500}, {"id": "m", "title": "M", "price": 66000}]}]
 NEXT = {"props": {"items": [{"name": "Pan", "salePrice": 30, "id": 7}, {"name": "Pot", "salePrice": "45.00", "id": "p2", "skus": [{"sku": "p2-x", "title": "X", "price": 45}]}]}}
 LANDING = {"props": {"page": {"url": "https://l.test/one", "products": [{"id": 3, "title": "Serum", "price": 590, "image": "/img/1.jpg", "imageDesc1": "/img/2.jpg"}]}}}
 PAGES: dict[str, str] = {
@@ -23,8 +23,8 @@ PAGES: dict[str, str] = {
     "group": f"<html>{script(GROUP)}</html>",
     "itemlist": f"<html>{script(ITEMS)}</html>",
     "faq": f"<html>{script(FAQ)}</html>",
-    "platform": f"<html><meta property='og:url' content='https://t.test/x'><script>var s = {{\"currency\": \"TWD\", \"products\": {json.dumps(PLATFORM)}}};</script><p>NT$ 790</p><p>$ 790</p></html>",
-    "attribute": "<div ga-product='" + json.dumps({"id": "ga1", "title": "Bag", "variations": json.dumps([{"key": "k1", "price": 4200}])}) + "'></div><p>$ 42</p>",
+    "platform": f"<html><meta property='og:url' content='https://t.test/x'><script>var s = {{\"currency\": \"INR\", \"products\": {json.dumps(PLATFORM)}}};</script><p>₹ 645</p><p>₹645.00</p></html>",
+    "attribute": "<div ga-product='" + json.dumps({"id": "ga1", "title": "Bag", "variations": json.dumps([{"key": "k1", "price": 5600}])}) + "'></div><p>$ 56</p>",
     "next": f'<script id="__NEXT_DATA__" type="application/json">{json.dumps(NEXT)}</script>',
     "hypernova": f'<div data-hypernova-key="landingdesktopApp"></div><script data-hypernova-key="landingdesktopApp"><!--{json.dumps(LANDING)}--></script><meta property="og:url" content="https://l.test/one">',
     "microdata": "<meta property='og:url' content='https://m.test/p/1'><meta name='description' content=' Soft towel '><div itemscope itemtype='https://schema.org/Product'><h1 itemprop='name'> Towel </h1><meta itemprop='price' content='15.00'><meta itemprop='priceCurrency' content='USD'><img itemprop='image' src='//m.test/t.png'></div>",

@@ -101,7 +101,7 @@ def test_directory(spark, tmp_path):
     (tmp_path / "b.html").write_text(PAGES["itemlist"])
     (tmp_path / "a.htm").write_bytes(PAGES["jsonld"].encode() + b"\xff")
     (tmp_path / "c.txt").write_text(PAGES["graph"])
-    assert api.build_graph_from_dir(spark, f"file://{tmp_path}", f"file://{tmp_path}/out")["nodes"] == 11
+    assert api.build_graph_from_dir(spark, f"file://{tmp_path}", f"file://{tmp_path}/out")["nodes"] == 13  # nine of the lamp's page, two products and their offers of the list
 
 
 def test_stream(spark, tmp_path):

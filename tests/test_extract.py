@@ -32,27 +32,27 @@ def test_whole_units(token, value):
 
 
 def test_amounts_and_currency():
-    assert shown_amounts("<script>$ 99</script><p>NT$ 790.00</p><p>790元 in 2024 $ 2024 $5</p>") == {790: 2}
-    assert page_currency('{"currency": "usd"}') == "USD" and page_currency("NT$ 5") == "TWD" and page_currency("$ 5") == ""
+    assert shown_amounts("<script>$ 99</script><p>₩ 64,500</p><p>64500원 since 2024 $ 2024 $5</p>") == {64500: 2}
+    assert page_currency('{"currency": "gbp"}') == "GBP" and page_currency("₪ 5") == "ILS" and page_currency("$ 5") == ""
 
 
 def test_verdicts():
-    page = PriceScale.of("<p>NT$ 790.00</p>")
-    assert page.props(79000)["price"] == "790" and page.props(79000)["price_confident"]
-    assert page.props("790.00") | {} == {"price": "790", "price_cents": 790, "price_scale": 0, "currency": "TWD", "price_confident": True, "price_score": 2}
-    assert PriceScale().props(79000, Decimal(790))["price_score"] == 3
-    assert PriceScale().props(4.2)["price"] == "4.20" and PriceScale().props("free") == {} and PriceScale().props(None) == {}
+    page = PriceScale.of("<p>₩ 64,500</p>")
+    assert page.props(6450000)["price"] == "64500" and page.props(6450000)["price_confident"]
+    assert page.props("64500.00") | {} == {"price": "64500", "price_cents": 64500, "price_scale": 0, "currency": "KRW", "price_confident": True, "price_score": 2}
+    assert PriceScale().props(6450000, Decimal(64500))["price_score"] == 3
+    assert PriceScale().props(7.3)["price"] == "7.30" and PriceScale().props("free") == {} and PriceScale().props(None) == {}
     assert PriceScale().props("1.2.3") == {} and PriceScale().props(1e30) == {}
 
 
 def test_same_price_from_all_sources():
-    shown = "<p>NT$ 4,200</p>"
-    ld = '<script type="application/ld+json">{"@type": "Product", "name": "T", "offers": {"price": "4200.00", "priceCurrency": "TWD"}}</script>'
-    platform = '<script>{"currency": "TWD", "products": [{"id": 1, "name": "T", "price": 420000, "price_min": "4200"}]}</script>'
-    micro = '<div itemscope itemtype="x/Product"><b itemprop="name">T</b><meta itemprop="price" content="4200"></div>'
+    shown = "<p>₩ 8,300</p>"
+    ld = '<script type="application/ld+json">{"@type": "Product", "name": "T", "offers": {"price": "8300.00", "priceCurrency": "KRW"}}</script>'
+    platform = '<script>{"currency": "KRW", "products": [{"id": 1, "name": "T", "price": 830000, "price_min": "8300"}]}</script>'
+    micro = '<div itemscope itemtype="x/Product"><b itemprop="name">T</b><meta itemprop="price" content="8300"></div>'
     for page in (ld, platform, micro):
         (p,) = products(page + shown)
-        assert (p["price"], p["price_cents"], p["price_scale"]) == ('"4200"', "4200", "0")
+        assert (p["price"], p["price_cents"], p["price_scale"]) == ('"8300"', "8300", "0")
 
 
 def test_urls_and_pictures():
