@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfgraph.llm.cache import Memo
-from shelfgraph.llm.common import by_bytes
+from shelfgraph.llm.common import by_bytes, tidy
 
 #: White space as the vocabulary's splitter sees it (the property White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -205,6 +205,12 @@ class WordBpe:
         pieces = [p for p in self.spaces.split(text) if p] if any(c in text for c in NOT_SPACE) else text.split()
         return b"".join(map(self.memo.__getitem__, pieces))
 
+    def forget(self) -> None:
+        """Empty the memos."""
+        for memo in (self.memo, self.word_memo):
+            memo.clear()
+            memo.old.clear()
+
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Null is empty. Special tokens in the text count as such."""
         return b"".join([self._slice(s) for s in _slices(text or "")])
@@ -289,7 +295,8 @@ def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_
         for batch in by_bytes(batches, 1, BATCH_BYTES):
             encoded = [codec.encode_bytes(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(_column(k, encoded, codec) for k in outputs)], names=[id_col, *outputs])
+        codec.forget()
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     schema = T.StructType([rows.schema[0], *(T.StructField(k, COLUMNS[k]) for k in outputs)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

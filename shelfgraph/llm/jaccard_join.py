@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.common import filter_bits, keep_chosen, settle
+from shelfgraph.llm.common import filter_bits, keep_chosen, settle, tidy
 from shelfgraph.llm.components import components
 from shelfgraph.llm.shingles import Sets, blocks, mix
 
@@ -90,7 +90,7 @@ def _describe(docs: DataFrame, k: int, share: int) -> DataFrame:
                 names=["doc_id", "text_key", "n", "key", "ck", "sampled", "small"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n long, key string, ck long, sampled long, small binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, text_key long, n long, key string, ck long, sampled long, small binary")
 
 
 def _sampled(h: np.ndarray, share: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def _screen_rows(docs: DataFrame, k: int, least: int, share: int, buckets: int)
         n = np.concatenate([credit.astype(np.uint64), halves[3][1], halves[2][1]])
         return pa.table({"kind": pa.array(kinds), "value": pa.array(_longs(values)), "n": pa.array(_longs(n))})
 
-    return docs.select("text").mapInArrow(put, "bucket int, payload binary").groupBy("bucket").applyInArrow(gather, "kind byte, value long, n long")
+    return docs.select("text").mapInArrow(tidy(put), "bucket int, payload binary").groupBy("bucket").applyInArrow(gather, "kind byte, value long, n long")
 
 
 def _index(docs: DataFrame, k: int, p: int, least: int, buckets: int, flags: np.ndarray, common: np.ndarray) -> DataFrame:
@@ -259,9 +259,9 @@ def _index(docs: DataFrame, k: int, p: int, least: int, buckets: int, flags: np.
             names=["key", "n", "able", "prefix", "shared"],
         )
 
-    lists = docs.select("text").mapInArrow(put, "bucket int, payload binary").groupBy("bucket").applyInArrow(gather, "k1 long, k2 long, n long, h binary, df binary")
+    lists = docs.select("text").mapInArrow(tidy(put), "bucket int, payload binary").groupBy("bucket").applyInArrow(gather, "k1 long, k2 long, n long, h binary, df binary")
     parts = lists.repartition("k1", "k2", "n").sortWithinPartitions("k1", "k2", "n")
-    return parts.mapInArrow(merge, "key string, n long, able long, prefix array<long>, shared binary")
+    return parts.mapInArrow(tidy(merge), "key string, n long, able long, prefix array<long>, shared binary")
 
 
 def _may_link(p: int, n: Column, left: Column, m: Column, m_left: Column) -> Column:
@@ -288,7 +288,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "sa", "nb", "sb")
-    return both.mapInArrow(run, "a string, b string")
+    return both.mapInArrow(tidy(run), "a string, b string")
 
 
 def _heavy_links(sets: DataFrame, p: int) -> DataFrame:
@@ -327,7 +327,7 @@ def _light_links(classes: DataFrame, p: int, top: int) -> DataFrame:
                     sums = np.full(1, total) if not gone else total - h if gone == 1 else total - np.array([h[list(x)].sum(dtype=np.uint64) for x in combinations(range(n), gone)], dtype=np.uint64)
                     yield pa.RecordBatch.from_arrays([pa.array(_longs(mix(sums))), pa.array([c] * len(sums), pa.int64()), pa.array([key] * len(sums), pa.string()), pa.array([n] * len(sums), pa.int64())], names=["subset", "c", "key", "n"])
 
-    listed = classes.where((F.col("n") > 0) & (F.col("n") <= top)).select("key", "n", "small").mapInArrow(run, "subset long, c long, key string, n long")
+    listed = classes.where((F.col("n") > 0) & (F.col("n") <= top)).select("key", "n", "small").mapInArrow(tidy(run), "subset long, c long, key string, n long")
     listed = settle(listed, "subsets")
     least = listed.groupBy("subset", "c").agg(F.min(F.struct("n", "key")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select("subset", "c", "least")
     found = listed.join(settle(least, "subset-lists"), ["subset", "c"]).where((F.col("key") != F.col("least.key")) & (F.ceil(F.lit(p) * (F.col("n") + F.col("least.n")) / F.lit(100 + p) - 1e-9) <= F.col("c")))

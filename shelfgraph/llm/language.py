@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.common import by_bytes, remainder, settle
+from shelfgraph.llm.common import by_bytes, remainder, settle, tidy
 
 #: Texts of each language, about, that the model is learned from.
 TEXTS_PER_LANG = 1000
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, pieces: list[str], by: int = 4, held_out: int = 2, text
             for lang, own in n.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = settle(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    words = settle(sample.mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     table = Pieces(pieces)
     names, number = table.names, {lang: i for i, lang in enumerate(langs)}
@@ -314,7 +314,7 @@ def fit(docs: DataFrame, pieces: list[str], by: int = 4, held_out: int = 2, text
             k, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[k, piece])], names=["k", "piece", "c"])
 
-        counted = words.mapInArrow(expect, "k int, piece int, c double").groupBy("k", "piece").agg(F.sum("c").alias("c"))
+        counted = words.mapInArrow(tidy(expect), "k int, piece int, c double").groupBy("k", "piece").agg(F.sum("c").alias("c"))
         new = np.full(chance.shape, PRIOR)
         for r in counted.collect():
             new[r["k"], r["piece"]] += r["c"]
@@ -337,4 +337,4 @@ def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col
             found = scorer.best(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")

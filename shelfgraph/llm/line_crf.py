@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.common import by_bytes
+from shelfgraph.llm.common import by_bytes, tidy
 from shelfgraph.llm.labelled import fit_logistic, labelled_sample
 from shelfgraph.llm.shingles import byte_values
 
@@ -242,5 +242,5 @@ def score_quality(docs: DataFrame, model: LineField, threshold: float = 0.5, id_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(quality)), pa.array([len(x) for x in lines], pa.int64()), bad], names=["doc_id", "score", "n_lines", "bad_lines"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, score double, n_lines long, bad_lines array<long>")
+    out = rows.mapInArrow(tidy(run), "doc_id long, score double, n_lines long, bad_lines array<long>")
     return out.select("doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "n_lines", "bad_lines")

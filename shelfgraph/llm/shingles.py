@@ -156,7 +156,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, k: int, docs: int = 4
             held += len(t or "")
             if chars >= SLICE:
                 shingled()
-            if len(rows) >= docs or held >= size * 4:
+            if len(rows) >= docs or held >= size:
                 if texts:
                     shingled()
                 yield rows, joined()
