@@ -82,15 +82,18 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     for t in table:
         offset.append(offset[-1] + len(t))
     shard = F.element_at(F.lit(flat), F.element_at(F.lit(offset), F.col("range") + 1) + F.col("piece") + 1)
-    # numbering: blocks of bounded size, whose counts are summed first, then a row number within each block
-    blocks = max(1, math.ceil(count / ROWS_PER_BLOCK / wanted) * 8 if count > ROWS_PER_BLOCK * wanted else 1)
-    placed = placed.select("doc_id", "size", "text_crc32", "range", "piece", F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(blocks)).alias("block"), shard.alias("shard"))
+    # numbering: blocks of at most about an average range's rows, whose counts are summed first, then a row number within each block
+    rows_per_block = min(ROWS_PER_BLOCK, max(1, math.ceil(count / wanted)))
+    held = {(r["range"], r["piece"]): r["n"] for r in filled}
+    blocks = [max(1, math.ceil(held.get((i, p), 0) / rows_per_block)) for i, k in enumerate(pieces) for p in range(k)]
+    block = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.element_at(F.lit(blocks), F.element_at(F.lit(offset), F.col("range") + 1) + F.col("piece") + 1).cast("long"))
+    placed = placed.select("doc_id", "size", "text_crc32", "range", "piece", block.alias("block"), shard.alias("shard"))
     counts = placed.groupBy("shard", "range", "piece", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("range", "piece", "block").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("range", "piece", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("range", "piece", "block").orderBy("doc_id", "text_crc32", "size")
     numbered = placed.withColumn("at", F.row_number().over(within) - 1)
-    small = F.broadcast(first) if len(filled) * blocks <= 100_000 else first
+    small = F.broadcast(first) if sum(blocks) <= 100_000 else first
     return numbered.join(small, ["range", "piece", "block"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), (F.col("first") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
