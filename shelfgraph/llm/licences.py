@@ -25,6 +25,9 @@ HOLDER = (
 #: The same by whole lines, as the SQL for a second engine has it; there is no lookahead in that one.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
+#: All but a-z, digits and what lies beyond ASCII, save its punctuation and blanks: typographic quotes, dashes, no-break spaces and the like.
+NO_WORD = r"[^a-z0-9\x{aa}\x{b5}\x{ba}\x{c0}-\x{1fff}\x{2070}-\x{2fff}\x{3040}-\x{fefe}\x{ff00}-\x{10FFFF}]+"
+
 _PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -62,6 +65,20 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
+#: Digests of the canonical forms of long licences as published, entire and, where they have an appendix, up to "END OF TERMS AND CONDITIONS", as (identifier, digest).
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "62c23944e22c7e1579b00eab372c8062d04f03e360aaab08b4030b71d5eac153"),
+    ("Apache-2.0", "46262ed7a2a06fdac885b37f111be9b18bbde572ab1edbd2f416d673551ab967"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-2.0", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0"),
+    ("GPL-3.0", "5b004933142ad5f512ad3a3c0537c6a7c13f302a8ac8e4632f720d9b267b20f1"),
+    ("GPL-3.0", "22eb3e82400f2536b74963f211af3daaacb548fcde0fe018459b6f2b53a06f8f"),
+    ("LGPL-2.1", "bd41c353168fa7258dd575b15107e47406e00e0363f0b975ba9491152352df8a"),
+    ("LGPL-2.1", "d07869bf5da5c86d37a7aa8ce3c2604cdd09807d9b2d8d7317e8f845e4d9ec81"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "3dacd2c104719e7227969cbdcc7d581518827199e830b9379627eec0a32f8ab7"),
+]
 
 
 def canonical(text: Column) -> Column:
@@ -70,7 +87,7 @@ def canonical(text: Column) -> Column:
     s = F.regexp_replace(s, HOLDER, "$1")
     for a, b in SIGNS:
         s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.trim(F.regexp_replace(s, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+    s = F.trim(F.regexp_replace(s, NO_WORD, " "))
     for a, b in SPELLINGS:
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
@@ -80,10 +97,11 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, licence) of the known texts; where texts of two licences have one form, the first by name."""
-    texts = spark.createDataFrame(known, "licence string, text string")
-    return texts.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = KNOWN_DIGESTS) -> DataFrame:
+    """(digest, licence) of the known texts and digests; where texts of two licences have one form, the first by name."""
+    texts = spark.createDataFrame(known, "licence string, text string").select(digest(F.col("text")).alias("digest"), "licence")
+    ready = spark.createDataFrame(digests, "licence string, digest string").select("digest", "licence")
+    return texts.unionByName(ready).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan_licences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

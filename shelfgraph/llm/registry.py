@@ -12,7 +12,7 @@ from shelfgraph.llm import language, line_crf, toxicity
 from shelfgraph.llm.common import UPPER, remainder
 from shelfgraph.llm.decontaminate import find_contamination
 from shelfgraph.llm.jaccard_join import jaccard_components
-from shelfgraph.llm.licences import COPYRIGHT_LINE, KNOWN, SIGNS, SPELLINGS, known_digests, scan_licences
+from shelfgraph.llm.licences import COPYRIGHT_LINE, KNOWN, KNOWN_DIGESTS, NO_WORD, SIGNS, SPELLINGS, known_digests, scan_licences
 from shelfgraph.llm.lsm_dedup import dedup_exact
 from shelfgraph.llm.shards import assign_shards
 from shelfgraph.llm.url_rules import judge_urls
@@ -86,7 +86,7 @@ def _canonical_sql(text: str) -> str:
     s = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}'), '{COPYRIGHT_LINE}', '\\1', 'g')"
     for a, b in SIGNS:
         s = f"replace({s}, '{a}', '{b}')"
-    s = f"trim(regexp_replace({s}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
+    s = f"trim(regexp_replace({s}, '{NO_WORD}', ' ', 'g'))"
     for a, b in SPELLINGS:
         s = f"replace({s}, '{a}', '{b}')"
     return s
@@ -94,8 +94,10 @@ def _canonical_sql(text: str) -> str:
 
 def _licence_sql() -> str:
     quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
+    digests = ", ".join(f"('{licence}', '{digest}')" for licence, digest in KNOWN_DIGESTS)
     return f"""
-        WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(licence) AS licence FROM (VALUES {quoted}) v(licence, t) GROUP BY 1),
+        WITH forms AS (SELECT licence, sha256({_canonical_sql("t")}) AS digest FROM (VALUES {quoted}) v(licence, t) UNION ALL SELECT * FROM (VALUES {digests}) d(licence, digest)),
+        known AS (SELECT digest, min(licence) AS licence FROM forms GROUP BY 1),
         whole AS (SELECT doc_id, text, sha256({_canonical_sql("text")}) AS text_digest FROM documents),
         lines AS (SELECT doc_id, text_digest, unnest(string_split(text, chr(10))) AS line FROM whole WHERE text IS NOT NULL),
         found AS (SELECT doc_id, text_digest, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices

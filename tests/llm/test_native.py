@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +218,37 @@ def test_components(spark):
     edges = [("a", "b"), ("c", "b"), ("x", "y"), ("z", "z"), (None, "a"), ("a", "b")] + [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {**dict.fromkeys("abc", "a"), "x": "x", "y": "x", "z": "z", **{f"n{i:03}": "n000" for i in range(61)}}
+
+
+def test_licences_as_published(spark):
+    """Typographic quotes, no-break spaces, other blanks and other case do not matter; full texts are found where this machine has them."""
+    mit = next(t for i, t in KNOWN if i == "MIT" and len(t) > 500)
+    quoted = mit.replace('"Software"', "“Software”").replace('"AS IS"', "‘AS IS’")
+    rows = [(1, quoted, "MIT"), (2, mit.replace(" ", " "), "MIT"), (3, mit.upper() + "\n\n", "MIT"), (4, mit + " But not on Sundays.", None), (5, "", None), (6, None, None)]
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    for file, licence in files.items():
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            rows += [(len(rows) + 1, path.read_text().replace("  ", " \t"), licence), (len(rows) + 2, path.read_text() + " and more", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert {r["doc_id"]: r["licence"] for r in scan_licences(docs, known_digests(spark)).collect()} == {i: want for i, _, want in rows}
+    assert scan_licences(docs.limit(0), known_digests(spark)).isEmpty()
+
+
+def test_shards_with_a_heavy_key(spark):
+    """A text that many rows share, below a shard's share: the slots stay gapless and rows that repeat are all there."""
+    docs = spark.createDataFrame([(i % 3900, "same" if i % 8 == 0 else f"text {i} " * 4) for i in range(4000)], "doc_id long, text string")
+    got = assign_shards(docs, 4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 4000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_urls_of_nothing(spark):
+    pages = spark.createDataFrame([(1, "http://A.example.net/en/" + "x" * 100_000, "r"), (1, "http://A.example.net/en/" + "x" * 100_000, "r"), (None, None, None), (2, "", "s")], "page_id long, url string, rule string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow")], "host string, path string, verdict string")
+    got = judge_urls(pages, rules)
+    assert sorted((str(r["page_id"]), str(r["rule"]), r["verdict"]) for r in got.collect()) == [("1", "example.net/en/", "allow")] * 2 + [("2", "None", "allow"), ("None", "None", "allow")]
+    assert judge_urls(pages.limit(0), rules).isEmpty()
+    assert dedup_exact(pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")).limit(0), "largest").isEmpty()
