@@ -40,8 +40,8 @@ def pages_from_dir(spark: SparkSession, path: str) -> DataFrame:
 
 def has_marker(html: Any = "html") -> Any:
     """Whether a page can hold anything, natively; the others never reach Python."""
-    c = F.col(html)
-    return reduce(lambda a, b: a | b, [c.contains(m) for m in MARKERS])
+    c = F.lower(F.col(html))
+    return reduce(lambda a, b: a | b, [c.contains(m.lower()) for m in MARKERS])
 
 
 def _safe(html: str | None, where: str) -> tuple[str, list[dict[str, Any]]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfgraph import api
+from shelfgraph.operators.fold import numbered
 
 
 def merge_stream(pages: DataFrame, path: str, checkpoint: str, dedup_edges: bool = True) -> StreamingQuery:
@@ -17,7 +18,8 @@ def merge_stream(pages: DataFrame, path: str, checkpoint: str, dedup_edges: bool
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.where("NOT coalesce(removed, false)").select(F.monotonically_increasing_id().alias("page_seq"), "html")
+        # without gaps, since a page's place is shifted to make room for its statements
+        fresh = numbered(batch.where("NOT coalesce(removed, false)").select(F.monotonically_increasing_id().alias("_at"), "html"), "_at", "page_seq").select("page_seq", "html")
         gone = [r["url"] for r in batch.where("removed").select("url").distinct().toLocalIterator()]
         api.merge_graph(spark, path, fresh, gone, path, dedup_edges)
 
