@@ -81,18 +81,31 @@ KNOWN_DIGESTS = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null is empty."""
-    s = lower_ascii(F.coalesce(text, F.lit("")))
-    s = F.regexp_replace(s, HOLDER, "$1")
+def _folded(text: Column) -> Column:
+    """The steps that never reach across a line's end, which they leave in place: case, holders, signs, and one blank for what is no letter or digit."""
+    s = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), HOLDER, "$1")
     for a, b in SIGNS:
         s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.trim(F.regexp_replace(s, NO_WORD, " "))
+    return F.regexp_replace(s, NO_WORD.replace("[^", r"[^\n", 1), " ")
+
+
+def _spelled(folded: Column) -> Column:
+    """The canonical form of a folded line or text."""
+    s = F.trim(F.regexp_replace(folded, "\\s+", " "))
     for a, b in SPELLINGS:
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
 
 
+def canonical(text: Column) -> Column:
+    """The canonical form; null is empty."""
+    return _spelled(_folded(text))
+
+
+def _sealed(folded: Column) -> Column:
+    return F.coalesce(F.sha2(_spelled(folded), 256), F.lit(""))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
@@ -113,10 +126,13 @@ def scan_licences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     empty = F.sha2(F.lit(""), 256)
     side = known.where(F.col("digest") != empty)
     side = F.broadcast(side) if side.count() <= BROADCAST_KNOWN else side
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    whole = base.select("doc_id", digest(F.col("text")).alias("text_digest"))
-    lines = base.where(F.col("text").isNotNull()).select("doc_id", digest(F.col("text")).alias("w"), F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("doc_id", "w", digest(F.col("line")).alias("digest")).join(side, "digest")
+    # A text is folded once for its own digest and once for its lines, which take their forms from the folded text. A digest that cannot be null and an outer
+    # explode spare the filters that the planner would put in front; the text's digest, selected before the explode, is not worked out again for every line
+    base = docs.select(F.col(id_col).alias("doc_id"), _folded(F.col(text_col)).alias("folded"))
+    whole = base.select("doc_id", _sealed(F.col("folded")).alias("text_digest"))
+    texts = base.select("doc_id", _sealed(F.col("folded")).alias("w"), "folded")
+    lines = texts.select("doc_id", "w", F.explode_outer(F.split("folded", "\n")).alias("line")).where(F.trim("line") != "")
+    found = lines.select("doc_id", "w", _sealed(F.col("line")).alias("digest")).join(side, "digest")
     notices = found.groupBy(F.col("doc_id").alias("n_doc"), F.col("w").alias("n_digest")).agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
     out = whole.join(side.select(F.col("digest").alias("text_digest"), "licence"), "text_digest", "left")
     out = out.join(notices, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("text_digest") == F.col("n_digest")), "left")

@@ -252,3 +252,13 @@ def test_urls_of_nothing(spark):
     assert sorted((str(r["page_id"]), str(r["rule"]), r["verdict"]) for r in got.collect()) == [("1", "example.net/en/", "allow")] * 2 + [("2", "None", "allow"), ("None", "None", "allow")]
     assert judge_urls(pages.limit(0), rules).isEmpty()
     assert dedup_exact(pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")).limit(0), "largest").isEmpty()
+
+
+def test_licence_lines_read_as_alone(spark):
+    lines = ["(c) 2019 A", "Copyright 2020 B", "copyright", "Copyright\r", "holders", "Released under the\tMIT Licence.", " Licensed under CC BY 4.0. ", "# (c) C. Released under CC0 1.0.", "copyright notice", "", "licensed under CC BY-NC 4.0. copyright", "Licensed under the", "MIT License."]
+    known = known_digests(spark)
+    alone = scan_licences(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), known).where("licence IS NOT NULL")
+    whole = scan_licences(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)))], "doc_id long, text string"), known)
+    want = ",".join(sorted({r["licence"] for r in alone.collect()}))
+    assert {"CC-BY-4.0", "CC0-1.0", "MIT"} <= set(want.split(","))
+    assert [r["notices"] for r in whole.collect()] == [want, want]
