@@ -11,8 +11,9 @@ from shelfgraph.graph import Graph
 from shelfgraph.operators.fold import build, merge
 from shelfgraph.plans import fixtures
 from shelfgraph.plans.compiler import run_query
+from shelfgraph.sources import store
 from shelfgraph.sources.pages import page_sources, pages_from_list, statement_log, statements
-from shelfgraph.sources.scratch import settle
+from shelfgraph.sources.scratch import new_folder, settle
 from shelfgraph.sources.star import event_graph, star_graph
 
 CENTS = "cast(round(p_retailprice * 100) AS BIGINT)"
@@ -66,6 +67,10 @@ STAR: dict[str, tuple[str, str]] = {
         "SELECT p_partkey AS k FROM part WHERE lower(p_name) LIKE '%red%' OR lower(p_name) LIKE '%ring%' OR p_size < 4 ORDER BY (lower(p_name) LIKE '%red%')::INT + (lower(p_name) LIKE '%ring%')::INT + (p_size < 4)::INT DESC, p_partkey LIMIT 25",
     ),
     "agg_order_limit": ("MATCH (p:Product)-[:Brand]->(b:Brand) RETURN b.name AS b, count(*) AS n ORDER BY n DESC, b LIMIT 5", "SELECT p_brand AS b, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, b LIMIT 5"),
+    "anonymous_nodes": ("MATCH ()-[:Brand]->(b:Brand) RETURN b.name AS brand, count(*) AS n", "SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY 1"),
+    "negative_literals": ("MATCH (p:Product) WHERE p.size > -1 AND p.size IN [-1, 5, 6] AND NOT p.size = -5 RETURN p.pkey AS k", "SELECT p_partkey AS k FROM part WHERE p_size IN (5, 6)"),
+    "aggregate_word_variable": ("MATCH (count:Product)-[:Brand]->(max) WHERE count.size >= 4.5 AND count.size < 6 RETURN count.pkey AS k, max.name AS sum", "SELECT p_partkey AS k, p_brand AS sum FROM part WHERE p_size = 5"),
+    "quoted_names": ("match (`a part`:Product) where `a part`.name starts with \"red\" Return `a part`.pkey as `part's key`, `a part`.size", "SELECT p_partkey AS \"part's key\", p_size::BIGINT AS \"a part.size\" FROM part WHERE lower(p_name) LIKE 'red%'"),
     "offers_by_flag": ("MATCH (p:Product)-[:Offers]->(o:Offer) WHERE p.brand = 'Brand#1' OR o.quantity > 45 RETURN o.returnflag AS f, count(*) AS n, sum(o.price_cents) AS s", "SELECT l_returnflag AS f, count(*) AS n, sum(cast(round(l_extendedprice * 100) AS BIGINT))::DOUBLE AS s FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#1' OR l_quantity > 45 GROUP BY 1"),
 }
 EVENTS: dict[str, tuple[str, str]] = {
@@ -115,6 +120,48 @@ def _page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_sources(pages).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each part, made natively: linked data whose type is a list, microdata, or data that do not parse, in turn."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key, cents = F.col("p_partkey"), F.round(F.col("p_retailprice") * 100).cast("long")
+    price = F.format_string("%d.%02d", F.floor(cents / 100).cast("long"), cents % 100)
+    page, odd = F.concat(F.lit("https://shop.test/p/"), key), key % 2 == 1
+    offer = F.struct(price.alias("price"), F.when(odd, F.concat(F.lit("https://shop.test/offer/"), key)).alias("url"))
+    data = F.to_json(F.struct(F.array(F.lit("Thing"), F.lit("Product")).alias("@type"), F.concat(F.lit("P"), key).alias("sku"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), offer.alias("offers")))
+    linked = F.concat(F.lit("<link rel='canonical' href='"), page, F.lit("'><script type=\"application/ld+json\">"), data, F.lit("</script>"))
+    cart = F.when(odd, F.concat(F.lit("<b data-product-id='"), key, F.lit("'></b>"))).otherwise(F.concat(F.lit("<b data-addtocart='{\"id\": "), key, F.lit("}'></b>")))
+    micro = F.concat(F.lit("<meta property='og:url' content='"), page, F.lit("'>"), cart, F.lit("<div itemscope itemtype='https://schema.org/Product'><h1 itemprop='name'>"), F.col("p_name"), F.lit("</h1><meta itemprop='price' content='"), price, F.lit("'></div>"))
+    broken = F.concat(F.lit("<script type=\"application/ld+json\">{\"@type\": \"Product\", "), key, F.lit("</script>"))
+    return part.select(key.alias("page_seq"), F.when(key % 3 == 0, linked).when(key % 3 == 1, micro).otherwise(broken).alias("html"))
+
+
+def _part_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(statements(_part_pages(spark, sf_dir)), "part-log")
+
+
+def _part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_query(build(_part_log(spark, sf_dir)), "MATCH (p:Product) RETURN p.name AS name, p.price_cents AS cents, p.url AS url, p.product_id AS pid")
+
+
+def _part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_sources(_part_pages(spark, sf_dir)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stored_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build, save, load with validation, query."""
+    path = new_folder(spark, "stored")
+    store.save(build(_part_log(spark, sf_dir)), path)
+    return run_query(store.load(spark, path, validate=True), "MATCH (p:Product)-[:Brand]->(b:Brand) RETURN b.name AS brand, count(*) AS n, sum(p.price_cents) AS s")
+
+
+def _removed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes removed by id go with their edges; the offers and brands stay."""
+    gone = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size < 20").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("id"))
+    graph = build(_part_log(spark, sf_dir), removed_ids=gone)
+    left = run_query(graph, "MATCH (x) RETURN x.kind AS what, count(*) AS n")
+    return left.unionByName(run_query(graph, "MATCH (p)-[:Offers]->(o:Offer) RETURN p.kind AS what, count(*) AS n").withColumn("what", F.lit("Offers")))
+
+
 PRODUCT = "MATCH (p:Product) RETURN p.name AS name, p.price AS price, p.price_cents AS cents, p.currency AS cur, p.price_score AS score"
 QUERIES |= {
     "upsert_merge": _stated("MATCH (p:Product) RETURN p.name AS name, p.price AS price, p.note AS note, p.sku AS sku, p.color AS color"),
@@ -137,6 +184,10 @@ QUERIES |= {
     "extract_hypernova": _extracted("hypernova", text="MATCH (p:Product) RETURN p.name AS name, p.price AS price, p.url AS url, p.image AS image"),
     "extract_microdata": _extracted("microdata", text="MATCH (p:Product) RETURN p.name AS name, p.price AS price, p.currency AS cur, p.url AS url, p.image AS image, p.description AS d"),
     "pages_source_counts": _page_sources,
+    "part_pages_products": _part_products,
+    "part_pages_sources": _part_sources,
+    "stored_graph": _stored_brands,
+    "removed_ids": _removed_parts,
 }
 SQL |= {
     "upsert_merge": "SELECT * FROM (VALUES ('Shirt', '12', 'new', '0123', 'red'), ('Hat', NULL, NULL, NULL, NULL)) t(name, price, note, sku, color)",
@@ -159,4 +210,15 @@ SQL |= {
     "extract_hypernova": "SELECT 'Serum' AS name, '590' AS price, 'https://l.test/one' AS url, 'https://l.test/img/1.jpg' AS image",
     "extract_microdata": "SELECT 'Towel' AS name, '15' AS price, 'USD' AS cur, 'https://m.test/p/1' AS url, 'https://m.test/t.png' AS image, 'Soft towel' AS d",
     "pages_source_counts": "SELECT 'empty' AS source, count(*) AS n FROM pages",
+    "part_pages_products": f"""
+        SELECT p_name AS name, {CENTS} AS cents, 'https://shop.test/' || CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 1 THEN 'offer/' ELSE 'p/' END || p_partkey AS url,
+               CASE WHEN p_partkey % 3 = 1 THEN p_partkey END AS pid
+        FROM part WHERE p_partkey % 3 < 2""",
+    "part_pages_sources": "SELECT CASE p_partkey % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'microdata' ELSE 'empty' END AS source, count(*) AS n FROM part GROUP BY 1",
+    "stored_graph": f"SELECT p_brand AS brand, count(*) AS n, sum({CENTS})::DOUBLE AS s FROM part WHERE p_partkey % 3 = 0 GROUP BY 1",
+    "removed_ids": """
+        SELECT 'Product' AS what, count(*) AS n FROM part WHERE p_partkey % 3 = 1 OR (p_partkey % 3 = 0 AND p_size >= 20)
+        UNION ALL SELECT 'Offer', count(*) FROM part WHERE p_partkey % 3 = 0
+        UNION ALL SELECT 'Brand', count(DISTINCT p_brand) FROM part WHERE p_partkey % 3 = 0
+        UNION ALL SELECT 'Offers', count(*) FROM part WHERE p_partkey % 3 = 0 AND p_size >= 20""",
 }

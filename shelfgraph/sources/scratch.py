@@ -23,11 +23,16 @@ def file_system(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back: cuts the lineage and survives lost executors; deleted when the driver ends."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for the caller to write; deleted when the driver ends."""
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     fs, jpath = file_system(spark, path)
     fs.deleteOnExit(jpath)
+    return path
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` and read it back: cuts the lineage and survives lost executors; deleted when the driver ends."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
