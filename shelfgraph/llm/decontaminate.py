@@ -83,11 +83,22 @@ def _said(w: Column) -> Column:
     return F.when(F.ascii(w) < 4, w.substr(F.lit(2), F.length(w))).otherwise(w)
 
 
-def _form(words: Column, form: int) -> Column:
-    """A hash of each word as it stands in a form."""
+def _hashes(words: Column) -> Column:
+    """A hash of each word as it reads. Compared as bytes, only words with a mark are below the number's placeholder."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(w < F.lit(_NUMBER), w.substr(F.lit(2), F.length(w))).otherwise(w)))
+
+
+def _kinds(words: Column) -> Column:
+    """The first character of each word that can be a slot; of all others, the one behind the digits."""
+    return F.transform(words, lambda w: F.when(w < F.lit(":"), F.ascii(w)).otherwise(ord(":")))
+
+
+def _form(hashes: Column, kinds: Column, form: int) -> Column:
+    """A hash of each word as it stands in a form, of its hash as it reads and its kind."""
     if form == _READS:
-        return F.transform(words, lambda w: F.xxhash64(_said(w)))
-    return F.transform(words, lambda w: F.xxhash64(F.when(_is_name(w, form), F.lit(_NAME)).when(_is(w, _UNIT), F.lit(_UNIT)).when(_is_number(w), F.lit(_NUMBER)).otherwise(_said(w))))
+        return hashes
+    named = [ord(m) for m in ((_NAME, _CAPITAL) if form == _CAPITALS else (_NAME,))]
+    return F.zip_with(hashes, kinds, lambda h, k: F.when(k == ord(":"), h).when(k >= ord("0"), F.xxhash64(F.lit(_NUMBER))).when(k.isin(named), F.xxhash64(F.lit(_NAME))).when(k == ord(_UNIT), F.xxhash64(F.lit(_UNIT))).otherwise(h))
 
 
 def _joined(a: Column, b: Column, by: int) -> Column:
@@ -118,13 +129,14 @@ def _grams(words: Column, sizes: list[int]) -> Column:
     k, none = range(len(sizes)), F.array().cast("array<array<bigint>>")
     new = lambda a, *old: F.zip_with(a, old[0], lambda x, y: F.when(x != y, x)) if len(old) == 1 else F.zip_with(F.zip_with(a, old[0], lambda x, y: F.when(x != y, x)), old[1], lambda x, y: F.when(y.isNull() | (x != y), x))
 
-    def forms(reads: Column, w: Column) -> Column:
-        named = _bound(_runs(_form(w, _NAMED), sizes), lambda a: F.array(*(new(F.get(a, j), F.get(reads, j)) for j in k)))
-        every = lambda a: _bound(_runs(_form(w, _CAPITALS), sizes), lambda b: F.concat(reads, a, F.array(*(new(F.get(b, j), F.get(reads, j), F.get(a, j)) for j in k))))
-        return F.when(F.exists(w, lambda x: _is_typed(x, _CAPITALS)), _bound(named, every)).otherwise(F.concat(reads, none))
+    def forms(reads: Column, hashes: Column, kinds: Column) -> Column:
+        named = _bound(_runs(_form(hashes, kinds, _NAMED), sizes), lambda a: F.array(*(new(F.get(a, j), F.get(reads, j)) for j in k)))
+        every = lambda a: _bound(_runs(_form(hashes, kinds, _CAPITALS), sizes), lambda b: F.concat(reads, a, F.array(*(new(F.get(b, j), F.get(reads, j), F.get(a, j)) for j in k))))
+        return F.when(F.exists(kinds, lambda k: k < ord(":")), _bound(named, every)).otherwise(F.concat(reads, none))
 
     def zipped(w: Column) -> Column:
-        arrays = _bound(_runs(_form(w, _READS), sizes), lambda reads: forms(reads, w))
+        read = lambda hashes: _bound(_runs(hashes, sizes), lambda reads: _bound(_kinds(w), lambda kinds: forms(reads, hashes, kinds)))
+        arrays = _bound(_hashes(w), read)
         return _bound(arrays, lambda a: F.arrays_zip(F.array(F.size(w)).alias("n"), *(F.coalesce(F.get(a, j), F.array().cast("array<bigint>")).alias(f"h{j}") for j in range(3 * len(sizes)))))
 
     return _bound(words, zipped)
@@ -139,7 +151,7 @@ def _listed(items: DataFrame, sizes: list[int]) -> DataFrame:
     """A row for each item, place and hash: item_id, item_key, n, size, windows, at, h, named (it is of the form with names) and open (at least half of its words are no slots)."""
 
     def at(form: int) -> Column:
-        runs = lambda s: F.get(_runs(_form(F.col("words"), form), sizes), F.array_position(F.lit(sizes), s).cast("int") - 1)
+        runs = lambda s: F.get(_runs(_form(_hashes(F.col("words")), _kinds(F.col("words")), form), sizes), F.array_position(F.lit(sizes), s).cast("int") - 1)
         cut = F.slice(runs(F.col("size")), F.lit(1), F.col("windows"))
         return F.transform(cut, lambda h, i: F.struct(i.alias("at"), h.alias("h"), F.lit(form).alias("form"), (2 * F.size(F.filter(F.slice(F.col("words"), i + 1, F.col("size")), lambda w: _is_typed(w, form))) <= F.col("size")).alias("open")))
 
