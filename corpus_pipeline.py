@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages; each takes all rows that its predecessor kept."""
+"""A corpus pipeline of five stages; each takes all rows that its predecessor kept. Stages with Python steps bound the bytes of the batches that this session sends to its workers."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfgraph.llm import toxicity
 from shelfgraph.llm.bpe import encode_documents
-from shelfgraph.llm.common import settle
+from shelfgraph.llm.common import bound_batches, settle
 from shelfgraph.llm.decontaminate import drop_contaminated
 from shelfgraph.llm.jaccard_join import drop_near_copies
 from shelfgraph.llm.lsm_dedup import drop_copies
@@ -15,6 +15,7 @@ from shelfgraph.llm.lsm_dedup import drop_copies
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; the lexicon is learned from the labels of these documents."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.learn(docs, labels))
 
@@ -26,6 +27,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8, the one with the smallest id."""
+    bound_batches(spark)
     return drop_near_copies(docs, k=5, percent=80)
 
 
@@ -36,6 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the decoded text."""
+    bound_batches(spark)
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfgraph.llm.cache import Memo
-from shelfgraph.llm.common import by_bytes, tidy
+from shelfgraph.llm.common import by_bytes, kept, tidy
 
 #: White space as the vocabulary's splitter sees it (the property White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -243,14 +243,9 @@ def _slices(text: str) -> Iterator[str]:
         at = end
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def _codec(path: str) -> WordBpe:
-    """One compiled automaton for each worker process and vocabulary."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    """One compiled automaton for each worker process and vocabulary, as long as the process does nothing else."""
+    return kept("bpe", path, lambda: WordBpe(path))
 
 
 COLUMNS = {
@@ -299,4 +294,4 @@ def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     schema = T.StructType([rows.schema[0], *(T.StructField(k, COLUMNS[k]) for k in outputs)])
-    return rows.mapInArrow(tidy(run), schema)
+    return rows.mapInArrow(tidy(run, keeps="bpe"), schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,8 @@ BITMAP_BITS = 32768
 MOST_BITS = 1 << 29
 #: Keys of rows up to this number are broadcast (about 100 bytes each).
 BROADCAST_KEYS = 200_000
+#: Bytes of rows in a batch for a Python worker, about.
+ARROW_BYTES = 4 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -131,15 +134,65 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int, rows: in
             at = end
 
 
-def tidy(run: Callable) -> Callable:
-    """An Arrow function whose worker gives its free memory back when a task ends; workers live on, and what they keep is lost to the executor."""
+#: What a worker process keeps between tasks, by the name of its operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str, key: str, make: Callable):
+    """``make()``, kept in this worker process under ``name`` and ``key`` until a task of another operator begins here."""
+    own = _KEPT.setdefault(name, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def _give_back() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+def _leave(keeps: str | None) -> None:
+    """Drop what tasks of other operators have kept in this process."""
+    if gone := [name for name in _KEPT if name != keeps]:
+        for name in gone:
+            del _KEPT[name]
+        gc.collect()
+        _give_back()
+
+
+def tidy(run: Callable, keeps: str | None = None) -> Callable:
+    """An Arrow function whose worker gives its free memory back when a task ends; workers live on, and what they keep is lost to the executor.
+    At the start it drops what other operators have kept there; ``keeps`` names what this one uses."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _leave(keeps)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-        if trim is not None:
-            trim(0)
+        _give_back()
 
     return wrapped
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for an Arrow function over the rows of one group."""
+
+    @functools.wraps(run)
+    def wrapped(rows: pa.Table) -> pa.Table:
+        _leave(None)
+        try:
+            return run(rows)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def bound_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """From now on in this session, batches of rows that go to Python workers have about ``size`` bytes at most, or what is set if that is less. Their number of
+    rows alone lets texts of some KB make batches of tens of MB, which the JVM and the worker hold at once, and in each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > size:
+        spark.conf.set(name, str(size))

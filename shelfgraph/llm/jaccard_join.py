@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.common import filter_bits, keep_chosen, settle, tidy
+from shelfgraph.llm.common import filter_bits, keep_chosen, settle, tidy, tidy_group
 from shelfgraph.llm.components import components
 from shelfgraph.llm.shingles import Sets, blocks, mix
 
@@ -157,7 +157,7 @@ def _screen_rows(docs: DataFrame, k: int, least: int, share: int, buckets: int)
         n = np.concatenate([credit.astype(np.uint64), halves[3][1], halves[2][1]])
         return pa.table({"kind": pa.array(kinds), "value": pa.array(_longs(values)), "n": pa.array(_longs(n))})
 
-    return docs.select("text").mapInArrow(tidy(put), "bucket int, payload binary").groupBy("bucket").applyInArrow(gather, "kind byte, value long, n long")
+    return docs.select("text").mapInArrow(tidy(put), "bucket int, payload binary").groupBy("bucket").applyInArrow(tidy_group(gather), "kind byte, value long, n long")
 
 
 def _index(docs: DataFrame, k: int, p: int, least: int, buckets: int, flags: np.ndarray, common: np.ndarray) -> DataFrame:
@@ -259,7 +259,7 @@ def _index(docs: DataFrame, k: int, p: int, least: int, buckets: int, flags: np.
             names=["key", "n", "able", "prefix", "shared"],
         )
 
-    lists = docs.select("text").mapInArrow(tidy(put), "bucket int, payload binary").groupBy("bucket").applyInArrow(gather, "k1 long, k2 long, n long, h binary, df binary")
+    lists = docs.select("text").mapInArrow(tidy(put), "bucket int, payload binary").groupBy("bucket").applyInArrow(tidy_group(gather), "k1 long, k2 long, n long, h binary, df binary")
     parts = lists.repartition("k1", "k2", "n").sortWithinPartitions("k1", "k2", "n")
     return parts.mapInArrow(tidy(merge), "key string, n long, able long, prefix array<long>, shared binary")
 

@@ -9,8 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once; a longer word is taken whole.
-SLICE = 1 << 20
+#: Bytes handled at once, each of which needs some 50 bytes for a while; a longer word is taken whole.
+SLICE = 1 << 18
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
