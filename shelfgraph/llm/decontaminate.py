@@ -28,6 +28,8 @@ LITERAL = 0.8
 BROADCAST_WINDOWS = 500_000
 #: Documents to be dropped, up to this number, are broadcast (about 20 bytes each).
 BROADCAST_GONE = 500_000
+#: Benchmark rows, and windows of items, in one file of an intermediate.
+ITEMS_A_FILE, WINDOWS_A_FILE = 10_000, 100_000
 #: Bits of the filter over documents whose slots are compared.
 FILTER_BITS = 1 << 24
 #: Units that become a placeholder after a number.
@@ -192,11 +194,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     """
     n = F.size("words")
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().select("item_id", F.xxhash64("text").alias("item_key"), _words(F.col("text")).alias("words"))
-    items = settle(items.where(n > 0).select("*", n.alias("n"), _size(n, size).alias("size")).withColumn("windows", F.col("n") - F.col("size") + 1), "items")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [size]
-    known = settle(_listed(items, sizes), "item-windows")
+    items = items.where(n > 0).select("*", n.alias("n"), _size(n, size).alias("size")).withColumn("windows", F.col("n") - F.col("size") + 1)
+    # the shuffles' number of partitions follows the documents; each file that a task writes to a local disk costs three processes (chmod)
+    items = settle(items.coalesce(benchmark.count() // ITEMS_A_FILE + 1), "items")
+    by_size = {r["size"]: r["w"] for r in items.groupBy("size").agg(F.sum("windows").alias("w")).collect()}
+    sizes = sorted(by_size) or [size]
+    known = settle(_listed(items, sizes).coalesce(3 * sum(by_size.values()) // WINDOWS_A_FILE + 1), "item-windows")
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    hits = settle(_hits(keyed, known, sizes, size), "hits")
+    hits = _hits(keyed, known, sizes, size)
     held = lambda *forms: F.collect_set(F.when(F.col("form").isin(*forms), F.col("at")))
     lines = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*_PAIR, "size", "windows", "diagonal").agg(held(0).alias("reads"), held(0, 1).alias("named"), held(0, 1, 2).alias("every"))
     lines = settle(lines, "diagonals")

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from shelfgraph.llm import common
+from shelfgraph.llm import common, decontaminate
 from shelfgraph.llm.components import components
 from shelfgraph.llm.decontaminate import drop_contaminated, find_contamination
 from shelfgraph.llm.licences import KNOWN, known_digests, scan_licences
@@ -262,3 +262,27 @@ def test_licence_lines_read_as_alone(spark):
     want = ",".join(sorted({r["licence"] for r in alone.collect()}))
     assert {"CC-BY-4.0", "CC0-1.0", "MIT"} <= set(want.split(","))
     assert [r["notices"] for r in whole.collect()] == [want, want]
+
+
+def test_intermediates_of_a_small_benchmark_are_few_files(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(str, find_contamination(docs, items).collect()))
+    files = {}
+
+    def settled(df, name, **options):
+        out = common.settle(df, name, **options)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(decontaminate, "settle", settled)
+    conf = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(map(str, find_contamination(docs, items).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert want and got == want
+    assert files["items"] == 1 and files["item-windows"] == 1 and "hits" not in files
