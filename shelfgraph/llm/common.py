@@ -23,6 +23,8 @@ BITMAP_BITS = 32768
 MOST_BITS = 1 << 29
 #: Keys of rows up to this number are broadcast (about 100 bytes each).
 BROADCAST_KEYS = 200_000
+#: Rows in one file of an intermediate whose number of rows is known before it is written.
+ROWS_A_FILE = 5_000
 #: Bytes of rows in a batch for a Python worker, about.
 ARROW_BYTES = 4 << 20
 
@@ -45,10 +47,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def settle(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors and gives the optimiser real sizes."""
+def files_for(rows: int) -> int:
+    """Files that an intermediate of so many rows needs at most."""
+    return rows // ROWS_A_FILE + 1
+
+
+def settle(df: DataFrame, name: str, files: int | None = None, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors and gives the optimiser real sizes.
+    With ``files``, at most so many tasks write it, each what several partitions hold; on a local disk each file costs three processes (chmod)."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    (df if files is None else df.coalesce(files)).write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfgraph.llm.common import filter_bits, keep_chosen, settle, tidy, tidy_group
+from shelfgraph.llm.common import files_for, filter_bits, keep_chosen, settle, tidy, tidy_group
 from shelfgraph.llm.components import components
 from shelfgraph.llm.shingles import Sets, blocks, mix
 
@@ -291,18 +291,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
     return both.mapInArrow(tidy(run), "a string, b string")
 
 
-def _heavy_links(sets: DataFrame, p: int) -> DataFrame:
-    """(a, b): links between large sets, enough of them to connect whatever all links connect."""
+def _heavy_links(sets: DataFrame, p: int, files: int) -> DataFrame:
+    """(a, b): links between large sets, enough of them to connect whatever all links connect. ``files`` bounds those of the lists; steps where a set in many lists or pairs is joined stay in
+    as many tasks as Spark has split them into."""
     # left: what a pair can share at most if this is the first shingle in rank that it shares; every pair is judged in the list of its first
     entries = sets.select("key", "n", "able", F.posexplode("prefix").alias("pos", "h")).select("key", "n", "able", "h", (F.col("able") - F.col("pos")).alias("left"))
     rank = F.struct((F.col("able") / F.col("n")).alias("r"), F.col("n").alias("ln"), F.col("left").alias("lleft"), F.col("key").alias("lead"))
-    lists = settle(entries.groupBy("h").agg(F.max(rank).alias("top"), F.min("n").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "top", "least"), "lists")
+    lists = settle(entries.groupBy("h").agg(F.max(rank).alias("top"), F.min("n").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "top", "least"), "lists", files)
     star = entries.join(lists, "h").where((F.col("key") != F.col("top.lead")) & _may_link(p, F.col("n"), F.col("left"), F.col("top.ln"), F.col("top.lleft")))
     pairs = star.select(F.col("key").alias("a"), F.col("top.lead").alias("b")).distinct()
     first = settle(_verified(pairs, sets, p), "links-1")
     # the class that a set is known to be in so far: of its leaders the one of the highest rank
     ranks = sets.select(F.col("key").alias("b"), F.struct((F.col("able") / F.col("n")).alias("r"), "n", "key").alias("rank"))
-    label = settle(first.join(ranks, "b").groupBy(F.col("a").alias("key")).agg(F.max("rank").alias("rank")).select("key", F.col("rank.key").alias("label")), "labels")
+    label = settle(first.join(ranks, "b").groupBy(F.col("a").alias("key")).agg(F.max("rank").alias("rank")).select("key", F.col("rank.key").alias("label")), "labels", files)
     named = entries.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     lead = lists.select("h", "least", F.col("top.lead").alias("lead")).join(label.select(F.col("key").alias("lead"), F.col("label").alias("lead_label")), "lead", "left").withColumn("lead_label", F.coalesce("lead_label", "lead"))
     in_lists = settle(named.join(lead, "h").withColumn("out", (F.col("label") != F.col("lead_label")) & (F.col("key") != F.col("lead")) & (F.col("least") <= F.floor(F.col("left") * (100 + p) / F.lit(p)) - F.col("n"))), "entries")
@@ -343,9 +344,10 @@ def _linked(docs: DataFrame, k: int, p: int, id_col: str, text_col: str) -> tupl
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     texts = rows.select("text")
     described = settle(_describe(rows, k, share), "sets")
+    files = files_for(described.count())
     first = F.struct(F.col("doc_id").isNull().alias("first_null"), F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
     classes = settle(
-        described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.min(first).alias("row"), *(F.first(c).alias(c) for c in ("n", "ck", "sampled", "small"))), "classes"
+        described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.min(first).alias("row"), *(F.first(c).alias(c) for c in ("n", "ck", "sampled", "small"))), "classes", files
     )
     capped = F.least(F.col("n"), F.lit(4 * SMALL))
     histogram = {r["n"]: r["c"] for r in classes.groupBy(capped.alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -358,7 +360,7 @@ def _linked(docs: DataFrame, k: int, p: int, id_col: str, text_col: str) -> tupl
         credit = screened.where("kind = 0").groupBy(F.col("value").alias("ck")).agg(F.sum("n").alias("credit"))
         may_lack = F.col("n") - F.ceil(F.lit(p) * F.col("n") / 100 - 1e-9)
         left = classes.where(F.col("n") >= least).join(credit, "ck", "left").where(F.coalesce("credit", F.lit(0)) >= F.col("sampled") - may_lack)
-        left = settle(left.select("n", "ck"), "screened")
+        left = settle(left.select("n", "ck"), "screened", files)
         kept, kept_tokens = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         bits = filter_bits(kept, MOST_BITS)
         v = (F.col("ck").bitwiseAND(F.lit(bits - 1)) + 1).alias("v")
@@ -368,14 +370,14 @@ def _linked(docs: DataFrame, k: int, p: int, id_col: str, text_col: str) -> tupl
         often = screened.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= max(count, 4 * COMMON))
         common = np.sort(np.array([r["value"] for r in often.collect()], dtype=np.int64).view(np.uint64))
         if kept_tokens:
-            sets = settle(_index(texts, k, p, least, max(16, kept_tokens // (2 * BUCKET)), flags, common), "index")
-            links = links.unionByName(_heavy_links(sets, p))
-    label = components(links)
+            sets = settle(_index(texts, k, p, least, max(16, kept_tokens // (2 * BUCKET)), flags, common), "index", files)
+            links = links.unionByName(_heavy_links(sets, p, files))
+    label = components(links, files)
     members = classes.select("key", "id", "row").join(label.select(F.col("node").alias("key"), "component"), "key")
     smallest = members.groupBy("component").agg(F.min("id").alias("_id"), F.min("row").alias("_row"))
     linked = members.select("key", "component").join(smallest, "component").select("key", "_id", "_row")
     named = classes.select("key", "id", "row").join(linked, "key", "left").select("key", F.coalesce("_id", "id").alias("component_id"), F.coalesce("_row", "row").alias("row"))
-    return described.select("doc_id", "text_key", "n", "key"), settle(named.select("key", "component_id", "row.*"), "named")
+    return described.select("doc_id", "text_key", "n", "key"), settle(named.select("key", "component_id", "row.*"), "named", files)
 
 
 def _with_class(rows: DataFrame, named: DataFrame) -> DataFrame:

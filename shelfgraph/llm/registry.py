@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfgraph.llm.bpe import encode_documents
 from shelfgraph.llm import language, line_crf, toxicity
-from shelfgraph.llm.common import UPPER, remainder
+from shelfgraph.llm.common import UPPER, bound_batches, remainder
 from shelfgraph.llm.decontaminate import find_contamination
 from shelfgraph.llm.jaccard_join import jaccard_components
 from shelfgraph.llm.licences import COPYRIGHT_LINE, KNOWN, KNOWN_DIGESTS, NO_WORD, SIGNS, SPELLINGS, known_digests, scan_licences
@@ -67,6 +67,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 

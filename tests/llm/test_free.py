@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfgraph.llm import language, line_crf, toxicity
+from shelfgraph.llm import common, components, jaccard_join, language, line_crf, registry, toxicity
 from shelfgraph.llm.bpe import MergeAutomaton, WordBpe, encode_documents
 from shelfgraph.llm.cache import Memo
 from shelfgraph.llm.common import by_bytes, remainder
@@ -90,6 +90,34 @@ def test_words_whose_blocks_change_places(spark):
     assert len(set(word_keys(" ".join(words).encode())[0].tolist())) == len(words)
 
 
+def test_few_files_and_bounded_batches(spark, monkeypatch):
+    """op9 on a small table: no intermediate but those of the joins of hot keys has a file for each shuffle partition, and workers get small batches."""
+    want = sorted(map(str, registry.op9_jaccard_join(spark, SF).collect()))
+    files = defaultdict(list)
+
+    def settled(df, name, *args, **options):
+        out = common.settle(df, name, *args, **options)
+        files[name].append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settle", settled)
+    monkeypatch.setattr(components, "settle", settled)
+    conf = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxBytesPerBatch": "64m"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(map(str, registry.op9_jaccard_join(spark, SF).collect()))
+        batch = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert want and got == want
+    few = {"classes", "screened", "index", "lists", "edges", "labels", "named"}
+    assert few <= set(files) and all(set(files[name]) == {1} for name in few)
+    assert int(batch) <= common.ARROW_BYTES
+
+
 def test_boundary_follows_cost():
     assert boundary(90, {12: 1000}) >= 12 and boundary(90, {60: 1000}) < 60
 
