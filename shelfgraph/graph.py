@@ -15,7 +15,8 @@ class Graph:
 
     ``promoted`` names the column of each property that is stored as a column of its own, so that it is pruned and pushed down. ``tags`` is the
     memo of the value types that a property of the map has. ``by_kind`` and ``by_rel`` hold the tables that make up nodes and edges, where a graph is a view
-    of several tables: a pattern with a label or a relation then plans only those.
+    of several tables: a pattern with a label or a relation then plans only those. ``ends`` has the kinds of the source and the destination of each relation,
+    where that is all it can have.
     """
 
     nodes: DataFrame
@@ -24,6 +25,7 @@ class Graph:
     tags: dict[str, frozenset[int]] = field(default_factory=dict)
     by_kind: dict[str, DataFrame] = field(default_factory=dict)
     by_rel: dict[str, DataFrame] = field(default_factory=dict)
+    ends: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     def nodes_of(self, kind: str | None) -> DataFrame:
         if kind is None:

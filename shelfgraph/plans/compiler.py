@@ -1,12 +1,16 @@
 """Compiles a query to DataFrame operations; no user-defined function and no action, but one scan for the types of a map property.
 
 Each pattern node is a filtered scan of the nodes, each hop an inner join over the edges. Predicates are ordinary expressions, so the optimiser pushes each
-to its scan. The order of bindings is (first node, edge, edge, ...); it is carried only where it can be seen.
+to its scan. The order of bindings is (first node, edge, edge, ...); it is carried only where it can be seen. Where only the number of bindings is seen, an end
+of the pattern that no item reads is counted for each node that it hangs on, before it is joined, so that two fans at one node are not multiplied out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +19,7 @@ from pyspark.sql.window import Window
 
 from shelfgraph.functions import values as V
 from shelfgraph.graph import Graph
-from shelfgraph.plans.syntax import Item, Lit, NodePattern, Op, Prop, Query, parse
+from shelfgraph.plans.syntax import Item, Lit, NodePattern, Op, Prop, Query, RelPattern, parse
 from shelfgraph.schema import BOOL, FLOAT, INT, LIST, STR, GraphError
 
 
@@ -24,6 +28,15 @@ def run_query(graph: Graph, text: str, ordered: bool = False) -> DataFrame:
     return _Compiler(graph, parse(text), ordered).frame()
 
 
+def conjuncts(e: object) -> Iterator[object]:
+    """The parts of a predicate that must all hold."""
+    if isinstance(e, Op) and e.op == "and":
+        for x in e.args:
+            yield from conjuncts(x)
+    elif e is not None:
+        yield e
+
+
 def directed(c: Column, desc: bool) -> Column:
     """Nulls are last, or first when descending."""
     return c.desc_nulls_first() if desc else c.asc_nulls_last()
@@ -111,8 +124,24 @@ class _Compiler:
 
     # frames
 
+    def hop(self, i: int, j: int) -> tuple[RelPattern, bool]:
+        """The relation between two neighbours, and whether its edges lead from i to j."""
+        rel = self.q.rels[min(i, j)]
+        return rel, rel.out == (i < j)
+
+    def kinds(self, i: int) -> tuple[str, ...] | None:
+        """The kinds that a node without a label can have, by the relations beside it; None if they are not known."""
+        found: list[set[str]] = []
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(self.q.nodes):
+                rel, out = self.hop(j, i)
+                if rel.types and all(t in self.g.ends for t in rel.types):
+                    found.append({self.g.ends[t][1 if out else 0] for t in rel.types})
+        return tuple(k for k in self.g.by_kind if k in set.intersection(*found)) if found else None
+
     def scan(self, i: int, pattern: NodePattern) -> DataFrame:
-        nodes = self.g.nodes_of(pattern.label)
+        kinds = self.kinds(i) if pattern.label is None else None
+        nodes = reduce(DataFrame.unionByName, [self.g.by_kind[k] for k in kinds]) if kinds else self.g.nodes_of(pattern.label)
         nodes = nodes.select([F.col(c).alias(f"n{i}_{c}") for c in nodes.columns if c != "id" and c != "props_json"])
         for k, v in pattern.props:
             c = V.compare("=", self.prop(i, k), V.literal(v))
@@ -131,6 +160,61 @@ class _Compiler:
             frame = frame.where(self.test(self.q.where, strict=False))
         return frame, order
 
+    def edges(self, i: int, j: int) -> DataFrame:
+        """Edges between two neighbours, with ``near`` at i."""
+        rel, out = self.hop(i, j)
+        k = max(i, j)
+        near, far = ("src", "dst") if out else ("dst", "src")
+        return self.g.edges_of(rel.types).select(F.col(near).alias(f"e{k}_near"), F.col(far).alias(f"e{k}_far"))
+
+    def mentioned(self, e: object) -> set[int]:
+        """Places of the nodes that a predicate reads."""
+        if isinstance(e, Op):
+            return set().union(*map(self.mentioned, e.args))
+        return {self.place[e.var]} if isinstance(e, Prop) and e.var in self.place else set()
+
+    def counted(self, outs: list[_Out]) -> tuple[DataFrame, Column | None]:
+        """The bindings of a query that returns aggregates, and the column that says how often each counts, None if all count once."""
+        tests = list(conjuncts(self.q.where))
+        read = {o.node for o in outs if o.node is not None and o.item.agg != "count"}.union(*(m for m in map(self.mentioned, tests) if len(m) != 1))
+        last = len(self.q.nodes) - 1
+        path = next((p for p in (range(last + 1), range(last, -1, -1)) if self.turn(p, read)), None)
+        if path is None:
+            return self.bindings()[0], None
+        at: dict[int, list[Column]] = {}
+        for e in tests:
+            m = self.mentioned(e)
+            at.setdefault(min(m) if len(m) == 1 else -1, []).append(self.test(e, strict=False))
+        frame, times = self.walk(path, read, at)
+        for c in at.get(-1, ()):
+            frame = frame.where(c)
+        return frame, times
+
+    def turn(self, path: Sequence[int], read: set[int]) -> int | None:
+        """The first inner place of ``path`` where edges meet head to head or tail to tail and past which nothing is read."""
+        inner = range(1, len(path) - 1)
+        return next((k for k in inner if self.hop(path[k - 1], path[k])[1] == self.hop(path[k + 1], path[k])[1] and not read & set(path[k + 1 :])), None)
+
+    def tested(self, i: int, at: dict[int, list[Column]]) -> DataFrame:
+        return reduce(DataFrame.where, at.get(i, ()), self.scan(i, self.q.nodes[i]))
+
+    def walk(self, path: Sequence[int], read: set[int], at: dict[int, list[Column]]) -> tuple[DataFrame, Column | None]:
+        """The bindings along ``path``; past the first turn there is only the number of bindings of the rest."""
+        frame, stop = self.tested(path[0], at), self.turn(path, read)
+        for i, j in pairwise(path if stop is None else path[: stop + 1]):
+            e = max(i, j)
+            frame = frame.join(self.edges(i, j), F.col(f"n{i}_idx") == F.col(f"e{e}_near")).join(self.tested(j, at), F.col(f"e{e}_far") == F.col(f"n{j}_idx"))
+        if stop is None:
+            return frame, None
+        i, j = path[stop], path[stop + 1]
+        near, far = F.col(f"e{max(i, j)}_near"), F.col(f"e{max(i, j)}_far")
+        own = self.edges(i, j)
+        if self.q.nodes[i].props or i in at:  # only the edges of nodes that stay
+            own = own.join(self.tested(i, at).select(f"n{i}_idx"), near == F.col(f"n{i}_idx"), "left_semi")
+        rest, times = self.walk(path[stop + 1 :], read, at)
+        ends = own.join(rest, far == F.col(f"n{j}_idx")).groupBy(near.alias(f"t{i}_idx")).agg(F.sum(F.lit(1) if times is None else times).alias(f"t{i}_times"))
+        return frame.join(ends, F.col(f"n{i}_idx") == F.col(f"t{i}_idx")), F.col(f"t{i}_times")
+
     def output(self, item: Item) -> _Out:
         if item.of is None:
             return _Out(item, None, None)
@@ -175,9 +259,9 @@ class _Compiler:
     def frame(self) -> DataFrame:
         outs = [self.output(it) for it in self.q.items]
         names = [o.item.column for o in outs]
-        frame, order = self.bindings()
         if any(o.item.agg for o in outs):
-            return self.grouped(frame, outs, names)
+            return self.grouped(outs, names)
+        frame, order = self.bindings()
         limited = self.q.skip is not None or self.q.limit is not None
         keys: list[tuple[Column, bool]] = []  # (key, descending)
         if self.q.order:
@@ -219,9 +303,19 @@ class _Compiler:
             frame = frame.offset(self.q.skip)
         return frame if self.q.limit is None else frame.limit(self.q.limit)
 
-    def grouped(self, frame: DataFrame, outs: list[_Out], names: list[str]) -> DataFrame:
+    @staticmethod
+    def aggregate(agg: str, num: Column, times: Column | None) -> Column:
+        """An aggregate of ``num``, each value taken so many times."""
+        if times is None or agg in ("min", "max"):
+            return getattr(F, agg)(num).cast("double")
+        if agg == "sum":
+            return F.sum(num * times).cast("double")
+        return F.sum(num.cast("double") * times) / F.sum(F.when(num.isNotNull(), times))
+
+    def grouped(self, outs: list[_Out], names: list[str]) -> DataFrame:
         """Groups by the items that are not aggregates; no rows give no group. Integers and floats are different keys. ORDER BY sorts the groups."""
-        keys, aggs, shown = [], [F.count(F.lit(1)).alias("rows")], []
+        frame, times = self.counted(outs)
+        keys, aggs, shown = [], [(F.count(F.lit(1)) if times is None else F.sum(times)).alias("rows")], []
         for k, o in enumerate(outs):
             if o.item.agg is None:
                 if o.value is not None and o.value.tag is not None:
@@ -234,7 +328,7 @@ class _Compiler:
                 shown.append(F.col("rows").alias(f"c{k}"))
             else:
                 num = o.value.num if o.value is not None and o.value.num is not None else F.lit(None).cast("double")
-                aggs.append(getattr(F, o.item.agg)(num).cast("double").alias(f"a{k}"))
+                aggs.append(self.aggregate(o.item.agg, num, times).alias(f"a{k}"))
                 shown.append(F.col(f"a{k}").alias(f"c{k}"))
         grouped = frame.groupBy(*keys).agg(*aggs) if keys else frame.agg(*aggs).where("rows > 0")
         out = grouped.select(*shown)

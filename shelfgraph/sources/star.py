@@ -14,6 +14,8 @@ BAND = 1 << 40
 #: Each of the two keys that make a pair's number is below this.
 _HALF = 1 << 31
 _BANDS = ("part", "brand", "type", "supplier", "orders", "customer", "pair", "nation", "region", "event", "user")
+#: The kinds of each relation's source and destination.
+_ENDS = {"Brand": ("Product", "Brand"), "Category": ("Product", "Category"), "BroaderCategory": ("Category", "Category"), "Manufacturer": ("Product", "Organization"), "HasVariant": ("Product", "Variant"), "Offers": ("Product", "Offer"), "Review": ("Product", "Review"), "Author": ("Review", "Person")}
 _PROPS = {"brand": "string", "type": "string", "size": "bigint", "price_cents": "bigint", "acctbal_cents": "bigint", "quantity": "double", "returnflag": "string", "status": "string", "total_cents": "bigint", "segment": "string", "promo": "boolean", "k": "bigint", "value": "double", "pkey": "bigint"}
 
 
@@ -51,7 +53,7 @@ def _graph(nodes: list[tuple[str, DataFrame]], edges: list[tuple[str, DataFrame]
         return {n: reduce(DataFrame.unionByName, [f for m, f in frames if m == n]) for n in names}
 
     union = lambda frames: reduce(DataFrame.unionByName, [f for _, f in frames])
-    return Graph(union(nodes), union(edges), {p: f"p_{p}" for p in _PROPS}, by_kind=grouped(nodes), by_rel=grouped(edges))
+    return Graph(union(nodes), union(edges), {p: f"p_{p}" for p in _PROPS}, by_kind=grouped(nodes), by_rel=grouped(edges), ends={r: _ENDS[r] for r, _ in edges})
 
 
 #: The tables' columns, so that no job reads them from the files.
