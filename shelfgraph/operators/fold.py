@@ -79,7 +79,7 @@ def build(log: DataFrame, removed_ids: DataFrame | None = None, removed_urls: Da
     if removed_ids is not None:
         gone = settle(removed_ids.select("id").where("id IS NOT NULL").distinct(), "removed")
         nodes = nodes.join(F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone, "id", "left_anti")
-    nodes = settle(numbered(nodes, "first", "idx"), "nodes")
+    nodes = numbered(nodes, "first", "idx")
     ids = nodes.select("id", "idx")
     e = log.where("op = 'edge'").select("seq", "src_id", "rel", "dst_id")
     e = e.join(ids.select(F.col("id").alias("src_id"), F.col("idx").alias("src")), "src_id").join(ids.select(F.col("id").alias("dst_id"), F.col("idx").alias("dst")), "dst_id")

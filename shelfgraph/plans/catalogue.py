@@ -13,7 +13,7 @@ from shelfgraph.plans import fixtures
 from shelfgraph.plans.compiler import run_query
 from shelfgraph.sources import store
 from shelfgraph.sources.pages import page_sources, pages_from_list, statement_log, statements
-from shelfgraph.sources.scratch import new_folder, settle
+from shelfgraph.sources.scratch import new_folder, settle, spread
 from shelfgraph.sources.star import event_graph, star_graph
 
 CENTS = "cast(round(p_retailprice * 100) AS BIGINT)"
@@ -96,6 +96,9 @@ SQL = {k: sql for k, (_, sql) in {**STAR, **EVENTS}.items()}
 
 # pages and statements of our own
 
+#: Rows of a narrow table that one task makes pages of and reads them.
+PAGES_A_TASK = 10_000
+
 
 def _built(spark: SparkSession, *pages: str) -> Graph:
     return build(settle(statements(pages_from_list(spark, [fixtures.PAGES[p] for p in pages])), "log"))
@@ -122,7 +125,7 @@ def _page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of each part, made natively: linked data whose type is a list, microdata, or data that do not parse, in turn."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_retailprice"), PAGES_A_TASK, "parts")
     key, cents = F.col("p_partkey"), F.round(F.col("p_retailprice") * 100).cast("long")
     price = F.format_string("%d.%02d", F.floor(cents / 100).cast("long"), cents % 100)
     page, odd = F.concat(F.lit("https://shop.test/p/"), key), key % 2 == 1

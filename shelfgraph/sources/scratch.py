@@ -36,3 +36,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """``df`` settled in files of about so many rows, for work that is long for each row: Spark splits files by their bytes, so a few megabytes of narrow rows are one task.
+    Settled, since a filter on what is made of the rows would move below a mere exchange."""
+    return settle(df.repartition(max(1, -(-df.count() // rows))), name)

@@ -4,13 +4,15 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfgraph import api
 from shelfgraph.graph import Graph
 from shelfgraph.operators.fold import build, fold_nodes, merge
 from shelfgraph.schema import GraphError
 from shelfgraph.sources import store
-from shelfgraph.sources.pages import statement_log
+from shelfgraph.sources.pages import page_sources, statement_log, statements
+from shelfgraph.plans import catalogue
 from shelfgraph.plans.fixtures import PAGES
 
 
@@ -111,3 +113,17 @@ def test_stream(spark, tmp_path):
     pages = spark.readStream.schema("url string, html string, removed boolean").parquet(f"{tmp_path}/in")
     merge_stream(pages, f"file://{tmp_path}/g", f"{tmp_path}/cp").awaitTermination(120)
     assert api.query(spark, f"file://{tmp_path}/g", "MATCH (p:Product) RETURN p.name AS n").count() == 2
+
+
+def test_pages_of_a_small_table_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(1, 1201).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "concat('Brand#', id % 5) AS p_brand", "cast(id % 50 AS int) AS p_size", "id + 0.5D AS p_retailprice")
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    monkeypatch.setattr(catalogue, "PAGES_A_TASK", 100, raising=False)
+    for made in (statements(catalogue._part_pages(spark, f"file://{tmp_path}")), page_sources(catalogue._part_pages(spark, f"file://{tmp_path}"))):
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 3 and max(sizes) <= sum(sizes) / 2
+    got = {r["source"]: r["n"] for r in catalogue.QUERIES["part_pages_sources"](spark, f"file://{tmp_path}").collect()}
+    assert got == {"jsonld": 400, "microdata": 400, "empty": 400}
+    got = sorted(map(tuple, catalogue.QUERIES["removed_ids"](spark, f"file://{tmp_path}").collect()))
+    kept = sum(k % 3 == 0 and k % 50 >= 20 for k in range(1, 1201))
+    assert got == [("Brand", 5), ("Offer", 400), ("Offers", kept), ("Product", 400 + kept)]
