@@ -127,3 +127,19 @@ def test_pages_of_a_small_table_are_read_by_many_tasks(spark, tmp_path, monkeypa
     got = sorted(map(tuple, catalogue.QUERIES["removed_ids"](spark, f"file://{tmp_path}").collect()))
     kept = sum(k % 3 == 0 and k % 50 >= 20 for k in range(1, 1201))
     assert got == [("Brand", 5), ("Offer", 400), ("Offers", kept), ("Product", 400 + kept)]
+
+
+def _parts(spark, path, monkeypatch):
+    """300 parts in one file, in pages of 30 for each task."""
+    rows = spark.range(1, 301).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "concat('Brand#', id % 5) AS p_brand", "cast(id % 50 AS int) AS p_size", "id + 0.5D AS p_retailprice")
+    rows.coalesce(1).write.parquet(f"file://{path}/part.parquet")
+    monkeypatch.setattr(catalogue, "PAGES_A_TASK", 30, raising=False)
+    return f"file://{path}"
+
+
+def test_products_of_a_small_table(spark, tmp_path, monkeypatch):
+    path = _parts(spark, tmp_path, monkeypatch)
+    assert len(catalogue._part_log(spark, path).inputFiles()) >= 3
+    got = {tuple(r) for r in catalogue.QUERIES["part_pages_products"](spark, path).collect()}
+    url = lambda k: f"https://shop.test/{'offer' if k % 3 == 0 and k % 2 else 'p'}/{k}"
+    assert {(n, c, u, None if p is None else str(p)) for n, c, u, p in got} == {(f"part {k}", k * 100 + 50, url(k), str(k) if k % 3 else None) for k in range(1, 301) if k % 3 < 2}
