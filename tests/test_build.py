@@ -143,3 +143,11 @@ def test_products_of_a_small_table(spark, tmp_path, monkeypatch):
     got = {tuple(r) for r in catalogue.QUERIES["part_pages_products"](spark, path).collect()}
     url = lambda k: f"https://shop.test/{'offer' if k % 3 == 0 and k % 2 else 'p'}/{k}"
     assert {(n, c, u, None if p is None else str(p)) for n, c, u, p in got} == {(f"part {k}", k * 100 + 50, url(k), str(k) if k % 3 else None) for k in range(1, 301) if k % 3 < 2}
+
+
+def test_stored_graph_of_a_small_table(spark, tmp_path, monkeypatch):
+    path, logs = _parts(spark, tmp_path, monkeypatch), []
+    monkeypatch.setattr(catalogue, "build", lambda log, **more: logs.append(log) or build(log, **more))
+    got = sorted(map(tuple, catalogue.QUERIES["stored_graph"](spark, path).collect()))
+    assert len(logs[0].inputFiles()) >= 3
+    assert got == [(f"Brand#{b}", 20, float(sum(k * 100 + 50 for k in range(1, 301) if k % 3 == 0 and k % 5 == b))) for b in range(5)]
