@@ -151,3 +151,14 @@ def test_stored_graph_of_a_small_table(spark, tmp_path, monkeypatch):
     got = sorted(map(tuple, catalogue.QUERIES["stored_graph"](spark, path).collect()))
     assert len(logs[0].inputFiles()) >= 3
     assert got == [(f"Brand#{b}", 20, float(sum(k * 100 + 50 for k in range(1, 301) if k % 3 == 0 and k % 5 == b))) for b in range(5)]
+
+
+@pytest.mark.parametrize("ids", [range(0), range(2, 3), range(1, 32)])
+def test_sources_of_a_small_table(spark, tmp_path, monkeypatch, ids):
+    path = _parts(spark, tmp_path, monkeypatch)
+    spark.read.parquet(f"{path}/part.parquet").where(F.col("p_partkey").isin(list(ids))).coalesce(1).write.parquet(f"{path}/few/part.parquet")
+    pages = catalogue._part_pages(spark, f"{path}/few")
+    assert len(pages.inputFiles()) == max(1, -(-len(ids) // 30)) and all("/part.parquet/" not in f for f in pages.inputFiles())
+    got = {r["source"]: r["n"] for r in catalogue.QUERIES["part_pages_sources"](spark, f"{path}/few").collect()}
+    expected = {"jsonld": sum(k % 3 == 0 for k in ids), "microdata": sum(k % 3 == 1 for k in ids), "empty": sum(k % 3 == 2 for k in ids)}
+    assert got == {k: n for k, n in expected.items() if n}
